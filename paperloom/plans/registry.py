@@ -1,10 +1,10 @@
-"""Queries over the tables, each with its SQL equivalent."""
+"""Queries over the tables, each with its SQL equivalent where there is one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import items, star
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_ALL = items.QUERIES | star.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql.strip() for name, (_, sql) in _ALL.items() if sql}
+FLAGSHIP = items.composite_topk
