@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+_own_dir: str | None = None
 
 
 def on_workers(spark: SparkSession) -> SparkSession:
@@ -15,3 +18,22 @@ def on_workers(spark: SparkSession) -> SparkSession:
     if ROOT not in path.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{path}".rstrip(":")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only if unset, as in tests."""
+    global _own_dir
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="paperloom-")
+    return _own_dir
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/paperloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
