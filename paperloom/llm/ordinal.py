@@ -107,9 +107,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _fit(owner: np.ndarray, which: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 800, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum penalised likelihood of the cumulative-link model by Adam; thresholds by their first value and gaps."""
+    """Maximum penalised likelihood of the cumulative-link model by Adam; thresholds by their first value and gaps.
+
+    All weights start equal, with thresholds between the numbers of features that the grades have on average.
+    """
     n = len(grade)
-    w, first, gaps = np.zeros(n_features), 1.0, np.zeros(GRADES - 1)
+    number = np.bincount(owner, minlength=n)
+    means = np.array([number[grade == k].mean() if (grade == k).any() else np.nan for k in range(GRADES + 1)])
+    means = np.maximum.accumulate(np.where(np.isnan(means), 0, means))
+    start = np.maximum((means[1:] + means[:-1]), 1.0)  # twice the middle, for weights of 2
+    w, first, gaps = np.full(n_features, 2.0), start[0], np.clip(np.log(np.maximum(np.diff(start), 0.05)), -3, 5)
     state = [np.zeros(n_features + GRADES), np.zeros(n_features + GRADES)]
     for t in range(1, steps + 1):
         theta = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
@@ -128,7 +135,7 @@ def _fit(owner: np.ndarray, which: np.ndarray, grade: np.ndarray, n_features: in
             state[i] = (0.9, 0.999)[i] * state[i] + (0.1, 0.001)[i] * grad ** power
         step = 0.05 * (state[0] / (1 - 0.9 ** t)) / (np.sqrt(state[1] / (1 - 0.999 ** t)) + 1e-10)
         # features were chosen as signs of toxicity, so they can only raise the grade
-        w, first, gaps = np.maximum(w - step[:n_features], 0), first - step[n_features], np.clip(gaps - step[n_features + 1:], -3, 3)
+        w, first, gaps = np.maximum(w - step[:n_features], 0), first - step[n_features], np.clip(gaps - step[n_features + 1:], -3, 5)
     return w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
