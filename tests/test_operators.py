@@ -117,7 +117,7 @@ def test_texts(spark):
     assert one(spark, text.tidy(F.lit("Abstract: one two three four"), 12)) == "one two…"
     assert one(spark, text.title_key(F.lit("A--B é: c"))) == "a b c"
     assert tuple(one(spark, text.person_key(F.lit("J. R. O'Neil-Smith")))) == ("j", "oneil-smith") and one(spark, text.person_key(F.lit("Plato"))) is None
-    assert one(spark, text.surnames(F.lit("Ann Lee, Bo Li; Cy Ray and Di Ray"))) == ["lee", "ray"] or True
+    assert one(spark, text.surnames(F.lit("Ann Lee, Bo Li; Cy Ray and Di Ray"))) == ["lee", "ray"]
     assert one(spark, text.question_key(F.lit("What is the alpha of the alpha-beta model?"))) == "alpha beta model"
     assert one(spark, text.redact(F.lit("u?api_key=1&mailto=a@b&k=2"))) == "u?api_key=***&mailto=***&k=2"
     assert one(spark, text.slug_title(F.lit("https://a.b/c/123-the-long-road.html?x=1"))) == "The Long Road"
