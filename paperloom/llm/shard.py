@@ -2,7 +2,7 @@
 
 Links are given as memberships (row, link): rows that share a link are neighbours, so a link with a third of all rows
 costs as many rows and no pairs.  Shards have exact quotas of rows.  All rows start dealt out evenly; then in every round
-a row counts its neighbours by shard, and may move to the shard that has most of them.  The flow between any two shards
+a row counts its neighbours by shard, and may move to the one with room that has most of them.  The flow between any two shards
 is cut until no shard goes over its quota.  Rows without neighbours leave room: at the end they fill what is left.
 """
 
@@ -66,14 +66,18 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int, rounds: int = ROUN
     now = materialise(member.select("row").distinct().withColumn("shard", (F.col("row") % shards).cast("int")))
     cells = 4 * shuffle_partitions(rows.sparkSession)
     for _ in range(rounds):
+        held = {r["shard"]: r["count"] for r in now.groupBy("shard").count().collect()}
+        free = F.array(*[F.lit(int(held.get(s, 0) < quota[s])) for s in range(shards)])
         counts = [F.count_if(F.col("shard") == s).alias(f"n{s}") for s in range(shards)]
         placed = member.join(now, "row")
         around = placed.groupBy("link").agg(*counts)
         votes = placed.join(around, "link").groupBy("row", "shard").agg(
             F.array(*[F.sum(f"n{s}") for s in range(shards)]).alias("votes"), F.min("link").alias("link"))
-        # of equals, the first from a shard that depends on the link, the same for all its rows
+        # shards without room take nobody; of equals, one with room, then the first from a shard that depends on the
+        # link, the same for all its rows
         turn = F.pmod(F.xxhash64("link"), F.lit(shards)).cast("int")
-        best = F.array_max(F.transform("votes", lambda v, s: F.struct(v.alias("n"), (-F.pmod(s - turn, F.lit(shards))).alias("o"), s.cast("int").alias("to"))))
+        all_ = F.transform("votes", lambda v, s: F.struct(v.alias("n"), F.get(free, s).alias("free"), (-F.pmod(s - turn, F.lit(shards))).alias("o"), s.cast("int").alias("to")))
+        best = F.array_max(F.filter(all_, lambda x: (x["free"] == 1) | (x["to"] == F.col("shard"))))
         wishes = materialise(votes.select("row", "shard", "link", best["to"].alias("to"), (best["n"] - F.get("votes", F.col("shard"))).alias("gain"))
                              .withColumn("cell", F.when(F.col("to") != F.col("shard"), F.pmod(F.xxhash64("link"), F.lit(cells)))))
         load = {r["shard"]: r["n"] for r in wishes.groupBy("shard").agg(F.count("*").alias("n")).collect()}
