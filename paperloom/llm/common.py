@@ -12,6 +12,7 @@ __all__ = ["WORD", "crc_of_id", "materialise", "shared_dir", "shuffle_partitions
 #: A word: a run of anything but the ASCII white space 0x20 and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
