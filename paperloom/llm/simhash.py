@@ -165,8 +165,12 @@ BANDS = 64 * (WIDE - 1) // KEY_BITS
 FAR = 18
 
 
-def _nearest_earlier(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every row, the distance to and place of the nearest earlier row of its bucket; rows come sorted by key."""
+def _nearest_earlier(key: np.ndarray, flip: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row, the distance to and place of the nearest earlier row of its bucket; rows come sorted by key, then id.
+
+    Two rows that agree in the whole band meet in all of each other's values, two that differ in it twice: they are
+    compared once, with no bit flipped or with the earlier row's flipped bit before the later row's.
+    """
     best, partner = np.full(len(key), 255, np.uint8), np.full(len(key), -1)
     active = np.arange(len(key))
     lag = 0
@@ -174,7 +178,8 @@ def _nearest_earlier(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np
         lag += 1
         active = active[active >= lag]
         active = active[key[active - lag] == key[active]]
-        d = np.bitwise_count(check[active] ^ check[active - lag])
+        here = (flip[active - lag] < flip[active]) | (flip[active] == 0) & (flip[active - lag] == 0)
+        d = np.where(here, np.bitwise_count(check[active] ^ check[active - lag]), 255)
         won = active[better] if (better := d < best[active]).any() else active[:0]
         best[won], partner[won] = d[better], won - lag
     return best, partner
@@ -184,8 +189,9 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of `id`s whose wide fingerprints `w` meet in a band.
 
     A band is 24 bits of the wide fingerprint.  Each row emits the band's value and all values one bit away; two rows
-    within two bits there meet.  In every bucket a row is paired with the earlier row whose check word is nearest, if
-    that is near at all: chains of nearest links, not all pairs.
+    within two bits there meet.  Buckets whose rows all flipped the same bit are done at once: they meet elsewhere.  In
+    the others a row is paired with the earlier row whose check word is nearest, if that is near at all: chains of
+    nearest links, not all pairs.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,23 +206,29 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
                 value = bits.reshape(len(ids), BANDS, KEY_BITS).astype(np.int32) @ weight
                 keys = value[:, :, None] ^ flips | (np.arange(BANDS, dtype=np.int32) << KEY_BITS)[:, None]
                 each = BANDS * len(flips)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, each)), pa.array(np.repeat(w[:, 0], each))], names=["key", "id", "check"])
+                flipped = np.tile(np.arange(len(flips), dtype=np.int8), len(ids) * BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(flipped), pa.array(np.repeat(ids, each)), pa.array(np.repeat(w[:, 0], each))], names=["key", "flip", "id", "check"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = list(batches)
         if not whole:
             return
-        key, number, check = (np.concatenate([b.column(c).to_numpy() for b in whole]) for c in ("key", "id", "check"))
-        order = np.lexsort((number, key))
-        key, number, check = key[order], number[order], check[order].view(np.uint64)
-        distance, partner = _nearest_earlier(key, check)
+        key, flip, number, check = (np.concatenate([b.column(c).to_numpy() for b in whole]) for c in ("key", "flip", "id", "check"))
+        order = np.lexsort((number, flip, key))
+        first = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))
+        last = np.append(first[1:], len(order)) - 1
+        meets = (last > first) & ((flip[order[first]] == 0) | (flip[order[first]] != flip[order[last]]))
+        order = order[np.repeat(meets, last - first + 1)]
+        order = order[np.lexsort((number[order], key[order]))]
+        key, flip, number, check = key[order], flip[order], number[order], check[order].view(np.uint64)
+        distance, partner = _nearest_earlier(key, flip, check)
         ok = distance <= FAR
         pairs = np.unique(np.stack([number[partner[ok]], number[ok]]), axis=1)
         for at in range(0, pairs.shape[1], 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0, at:at + 100_000]), pa.array(pairs[1, at:at + 100_000])], names=["a", "b"])
 
     spark = prints.sparkSession
-    variants = prints.select("id", "w").mapInArrow(spread, "key int, id long, check long")
+    variants = prints.select("id", "w").mapInArrow(spread, "key int, flip byte, id long, check long")
     return variants.repartition(2 * shuffle_partitions(spark), "key").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -241,7 +253,8 @@ def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, simil
     same = materialise(marked.filter("id is not null").groupBy("h", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first("w").alias("w")))
     pairs = materialise(candidate_pairs(same.select(F.col("first").alias("id"), "w")))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialise(rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.first(utf8("t")).alias("t")))
+    # joins with texts shuffle at every size: how many pairs there are is not known beforehand
+    texts = materialise(rows.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first(utf8("t")).alias("t")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +264,7 @@ def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, simil
                 ok = pa.array([s >= similarity for s in got])
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(ok)
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")).hint("merge"), "b")
     tree = connected_components(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
     copies = marked.join(same.filter("rows > 1").select("h", "n", "first"), ["h", "n"]).select("id", "first")
     linked = copies.select("id", "first").unionByName(tree.select(F.col("node").alias("id"), F.col("node").alias("first"))).distinct()
