@@ -2,8 +2,8 @@
 
 P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all thresholds, which are ordered.  Features are the
 presence of words and of word beginnings.  Labels say only toxic or not; among toxic documents the grades 1 to 3 are the
-thirds of the number of features that tell toxic documents from others.  Feature counts cover all labelled documents; the regression is
-fitted on a bounded sample of them.
+thirds of the number of features that tell toxic documents from others.  Features are counted over a bounded sample of
+the labelled documents, and the regression is fitted on a smaller one.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ PREFIXES = (4, 5, 6)
 #: of a document's features divided by it can be, whatever the number of documents.
 LEAST_SHARE, LEAST_DOCS = 0.003, 3
 LIFT, Z = 4.0, 4.0
-#: Most labelled documents the regression is fitted on, toxic or not each: those with the lowest hash of the id.
-SAMPLE = 15_000
+#: Most labelled documents whose features are counted, and on which the regression is fitted, toxic or not each: those
+#: with the lowest hash of the id.  Only these documents' texts leave the scan; of the others at most ids are shuffled.
+COUNTED, SAMPLE = 60_000, 15_000
 
 
 def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,13 +140,18 @@ def _fit(owner: np.ndarray, which: np.ndarray, grade: np.ndarray, n_features: in
     return w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, sample: int = SAMPLE) -> Model:
-    """Fit on the rows of `df` that `labels` (id, 0/1 `label`) covers; null texts and labels are left out.
+def train(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, sample: int = SAMPLE, counted: int = COUNTED) -> Model:
+    """Fit on rows of `df` that `labels` (id, 0/1 `label`) covers, within the bounds; null texts and labels are left out.
 
     Of contradicting labels for one id the toxic one counts.  Without toxic labels nothing is ever toxic.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg((F.max(label) == 1).alias("toxic"))
-    rows = materialise(df.filter(F.col(text).isNotNull()).select(id_col, utf8(text).alias("t")).join(known, id_col))
+    present = known.join(df.filter(F.col(text).isNotNull()).select(id_col), id_col, "left_semi")
+    order = F.xxhash64(id_col)
+    picked = [present.filter(F.col("toxic") == v).orderBy(order, id_col).limit(counted) for v in (True, False)]
+    # at most twice `counted` ids are broadcast, so that no text is shuffled
+    picked = F.broadcast(materialise(picked[0].unionByName(picked[1])))
+    rows = materialise(df.filter(F.col(text).isNotNull()).select(id_col, utf8(text).alias("t")).join(picked, id_col))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     none = Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES, 40.0))
@@ -165,7 +171,6 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     chosen = candidates[(z >= Z) & (p >= LIFT * (outside + 0.5) / max(1, clean))]
     if not len(chosen):
         return none
-    order = F.xxhash64(id_col)
     kept = [T.StructField("toxic", T.BooleanType())]
     sampled = [rows.filter(F.col("toxic") == v).orderBy(order, id_col).limit(sample).select("toxic", F.col("t").alias("__utf8")) for v in (True, False)]
     seen = _sparse(sampled[0].unionByName(sampled[1]), chosen, kept).toArrow()
