@@ -9,7 +9,8 @@ fingerprints that can have no partner at all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, shuffle_partitions, utf8
+from .common import materialise, utf8
 from .graph import connected_components
 
 SEED = 42
@@ -156,80 +157,102 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, words: int = 3) -> Da
 
 # ---- links by similarity ---------------------------------------------------------------------------------------
 
-#: Words of the wide fingerprint: the first checks what meets, the others give the bands of so many bits each.  With
-#: balls of radius 1 on either side a pair of similarity 0.8 meets in some band with a probability of about 0.96, one of
-#: 0.9 nearly always.
-WIDE, KEY_BITS = 4, 24
-BANDS = 64 * (WIDE - 1) // KEY_BITS
-#: Most bits in which the check words of a pair may differ; similarity 0.8 gives 9 on average, unrelated texts 32.
-FAR = 18
+#: Most rows whose shingles are counted to order shingles from rare to common, and most common ones kept.  The order
+#: decides only how many rows meet: the search is exact for any.
+COUNTED, COMMON = 10_000, 500_000
 
 
-def _nearest_earlier(key: np.ndarray, flip: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every row, the distance to and place of the nearest earlier row of its bucket; rows come sorted by key, then id.
+def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(shingles_of(text, words))], np.uint64).view(np.int64))
 
-    Two rows that agree in the whole band meet in all of each other's values, two that differ in it twice: they are
-    compared once, with no bit flipped or with the earlier row's flipped bit before the later row's.
-    """
-    best, partner = np.full(len(key), 255, np.uint8), np.full(len(key), -1)
-    active = np.arange(len(key))
-    lag = 0
-    while len(active):
-        lag += 1
-        active = active[active >= lag]
-        active = active[key[active - lag] == key[active]]
-        here = (flip[active - lag] < flip[active]) | (flip[active] == 0) & (flip[active - lag] == 0)
-        d = np.where(here, np.bitwise_count(check[active] ^ check[active - lag]), 255)
-        won = active[better] if (better := d < best[active]).any() else active[:0]
-        best[won], partner[won] = d[better], won - lag
-    return best, partner
-
-
-def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of `id`s whose wide fingerprints `w` meet in a band.
-
-    A band is 24 bits of the wide fingerprint.  Each row emits the band's value and all values one bit away; two rows
-    within two bits there meet.  Buckets whose rows all flipped the same bit are done at once: they meet elsewhere.  In
-    the others a row is paired with the earlier row whose check word is nearest, if that is near at all: chains of
-    nearest links, not all pairs.
+
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of shingles that several of a fixed share of the rows (columns id, t) have."""
+    every = max(1, rows.count() // COUNTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                found = [_shingle_hashes(t, words) for t in batch.column("t").slice(at, 500).to_pylist()]
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(utf8("t").alias("t"))
+    counted = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    table = counted.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    key, n = (table.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def with_prefix(rows: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Add `size`, the number of distinct shingles of `t`, and `prefix`: hashes of the first of them, from rare to common.
+
+    Sets of that similarity have at least `similarity` of either in common, so one of the first `size` less that, plus one.
+    A wordless text has the prefix 0.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.array([0, *(1 << b for b in range(KEY_BITS))], np.int32)
-        weight = 1 << np.arange(KEY_BITS, dtype=np.int32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                w = part.column("w").flatten().to_numpy().reshape(-1, WIDE)
-                bits = np.unpackbits(np.ascontiguousarray(w[:, 1:]).view(np.uint8), axis=1, bitorder="little")
-                value = bits.reshape(len(ids), BANDS, KEY_BITS).astype(np.int32) @ weight
-                keys = value[:, :, None] ^ flips | (np.arange(BANDS, dtype=np.int32) << KEY_BITS)[:, None]
-                each = BANDS * len(flips)
-                flipped = np.tile(np.arange(len(flips), dtype=np.int8), len(ids) * BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(flipped), pa.array(np.repeat(ids, each)), pa.array(np.repeat(w[:, 0], each))], names=["key", "flip", "id", "check"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = list(batches)
-        if not whole:
-            return
-        key, flip, number, check = (np.concatenate([b.column(c).to_numpy() for b in whole]) for c in ("key", "flip", "id", "check"))
-        order = np.lexsort((number, flip, key))
-        first = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))
-        last = np.append(first[1:], len(order)) - 1
-        meets = (last > first) & ((flip[order[first]] == 0) | (flip[order[first]] != flip[order[last]]))
-        order = order[np.repeat(meets, last - first + 1)]
-        order = order[np.lexsort((number[order], key[order]))]
-        key, flip, number, check = key[order], flip[order], number[order], check[order].view(np.uint64)
-        distance, partner = _nearest_earlier(key, flip, check)
-        ok = distance <= FAR
-        pairs = np.unique(np.stack([number[partner[ok]], number[ok]]), axis=1)
-        for at in range(0, pairs.shape[1], 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0, at:at + 100_000]), pa.array(pairs[1, at:at + 100_000])], names=["a", "b"])
-
-    spark = prints.sparkSession
-    variants = prints.select("id", "w").mapInArrow(spread, "key int, flip byte, id long, check long")
-    return variants.repartition(2 * shuffle_partitions(spark), "key").mapInArrow(meet, "a long, b long").distinct()
+            sizes, prefixes = [], []
+            for text in batch.column("__utf8").to_pylist():
+                h = _shingle_hashes(text, words)
+                count = np.zeros(len(h), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    count = np.where(known[place] == h, counts[place], 0)
+                own = h[np.lexsort((h, count))]
+                sizes.append(len(h))
+                prefixes.append(own[:len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] if len(h) else np.zeros(1, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=[*names, "size", "prefix"])
+
+    return rows.select(*names, utf8("t").alias("__utf8")).mapInArrow(run, schema)
+
+
+def _can_be_similar(similarity: float) -> Column:
+    """Whether rows x and y that meet in a key can have the similarity, if it is the first that they share."""
+    left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    return left + 1e-9 >= (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity))
+
+
+def similar_links(entries: DataFrame, similarity: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that connect just the rows which pairs of that similarity connect.
+
+    `entries` (key, id, size, pos) are the rows' prefixes; `verify` returns those of the pairs (a, b), a < b, that have the
+    similarity.  First every row meets one row of each key, another one in each round, while that still links a good
+    part; rows linked so far are one component.  Then all pairs of different components that share a key are compared:
+    within a key, the rows outside its largest component with all others.  Pairs inside a component need no comparison,
+    so the work grows with the pairs that share a rare shingle but no component.  Python never holds a key's rows.
+    """
+    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    several = entries.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1").drop("m")
+    live = materialise(several.withColumn("c", F.col("id")))
+    tried = edges = None
+    for number in range(1, 1 << 30):
+        pivots = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("o"), "id", "size", "pos", "c")).alias("p")).select("key", "p.*")
+        met = live.alias("x").join(pivots.alias("y").hint("merge"), F.col("x.key") == F.col("y.key")).filter(F.col("x.c") != F.col("y.c"))
+        pairs = met.filter(_can_be_similar(similarity)).select(*pair).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        good = materialise(verify(pairs))
+        compared, linked = pairs.count(), good.count()
+        tried, edges = (pairs, good) if tried is None else (tried.unionByName(pairs), edges.unionByName(good))
+        if linked:
+            tree = connected_components(edges).withColumnRenamed("node", "id")
+            live = live.drop("c").join(tree.hint("merge"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        sizes = live.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("count", "c"))["c"].alias("most"))
+        live = materialise(live.join(sizes.filter("components > 1").hint("merge"), "key").select("key", "id", "size", "pos", "c", "most"))
+        if 10 * linked <= compared:
+            break
+        live = live.drop("most")
+    few = live.filter("c <> most")
+    met = few.alias("x").join(live.alias("y").hint("merge"), F.col("x.key") == F.col("y.key"))
+    met = met.filter((F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))) & _can_be_similar(similarity))
+    return edges.unionByName(verify(materialise(met.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))))
 
 
 def _similarities(a: list[bytes], b: list[bytes], words: int) -> list[float]:
@@ -243,20 +266,17 @@ def _similarities(a: list[bytes], b: list[bytes], words: int) -> list[float]:
 def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) of the rows that have a partner: classes of texts whose word shingles have that Jaccard similarity.
 
-    Equal texts are one class to begin with.  Candidate pairs of different texts come from candidate_pairs; each is
-    verified on the shingles of the whole texts.  Wordless texts are alike.
+    Equal texts are one class to begin with.  Candidate pairs of different texts share one of their rarest shingles, which
+    no similar pair can fail to; each is verified on the shingles of the whole texts.  Wordless texts are alike.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    marked = simhash(rows, "t", words, WIDE, "w").select("id", "t", "w", F.xxhash64("t").alias("h"), F.length(F.coalesce("t", F.lit(""))).alias("n"))
-    marked = materialise(marked.select("id", "w", "h", "n"))
+    marked = with_prefix(rows, words, similarity, common_shingles(rows, words))
+    marked = materialise(marked.select("id", "size", "prefix", F.xxhash64("t").alias("h"), F.length(F.coalesce("t", F.lit(""))).alias("n")))
     # rows with equal texts: the smallest id stands for all
-    same = materialise(marked.filter("id is not null").groupBy("h", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first("w").alias("w")))
-    pairs = materialise(candidate_pairs(same.select(F.col("first").alias("id"), "w")))
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    # joins with texts shuffle at every size: how many pairs there are is not known beforehand
-    texts = materialise(rows.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first(utf8("t")).alias("t")))
+    same = materialise(marked.filter("id is not null").groupBy("h", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first(F.struct("size", "prefix")).alias("p")))
+    entries = same.select(F.col("first").alias("id"), F.col("p.size").alias("size"), F.posexplode("p.prefix").alias("pos", "key"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -264,8 +284,14 @@ def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, simil
                 ok = pa.array([s >= similarity for s in got])
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(ok)
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")).hint("merge"), "b")
-    tree = connected_components(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        # joins with texts shuffle at every size: how many pairs there are is not known beforehand
+        texts = materialise(rows.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first(utf8("t")).alias("t")))
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")).hint("merge"), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+    tree = connected_components(similar_links(entries, similarity, verify))
     copies = marked.join(same.filter("rows > 1").select("h", "n", "first"), ["h", "n"]).select("id", "first")
     linked = copies.select("id", "first").unionByName(tree.select(F.col("node").alias("id"), F.col("node").alias("first"))).distinct()
     return linked.join(tree.select(F.col("node").alias("first"), "component"), "first", "left").select(F.col("id"), F.coalesce("component", "first").alias("component_id")).distinct()

@@ -99,3 +99,37 @@ def test_similar_classes_catch_copies_and_leave_others(spark, sf):
     assert got == want
     kept = {r["doc_id"] for r in simhash.keep_one_of_each(df, "doc_id", "text").collect()}
     assert kept == {100 * g for g in range(30)} | {a[0] for a in alone} | {20_000, None}
+
+
+def jaccard(a, b, words=5):
+    x, y = set(simhash.shingles_of(a.encode(), words)), set(simhash.shingles_of(b.encode(), words))
+    return len(x & y) / len(x | y)
+
+
+def brute_classes(rows):
+    pairs = [(a, b) for a, x in rows for b, y in rows if a < b and jaccard(x, y) >= 0.8]
+    linked = classes(pairs, [i for i, _ in rows])
+    return pairs, {i: linked[i] for p in pairs for i in p}
+
+
+def similar(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["id"]: r["component_id"] for r in simhash.similar_classes(df, "doc_id", "text").collect()}
+
+
+def changed(rng, text, at):
+    w = text.split()
+    for i in at:
+        w[i] = f"new{rng.getrandbits(40)}"
+    return " ".join(w)
+
+
+def test_true_copies_among_siblings_below_the_threshold(spark):
+    rng = random.Random(11)
+    template = " ".join(f"t{i}" for i in range(200))
+    siblings = [changed(rng, template, range(164, 200)) for _ in range(150)]  # alike by 0.69
+    copies = [changed(rng, t, range(12, 26)) for t in siblings[100:]]  # alike to one by 0.84
+    rows = list(enumerate(siblings + copies))
+    pairs, want = brute_classes(rows)
+    assert pairs == [(100 + i, 150 + i) for i in range(50)] and 0.6 < jaccard(siblings[0], siblings[1]) < 0.75
+    assert similar(spark, rows) == want
