@@ -133,3 +133,13 @@ def test_true_copies_among_siblings_below_the_threshold(spark):
     pairs, want = brute_classes(rows)
     assert pairs == [(100 + i, 150 + i) for i in range(50)] and 0.6 < jaccard(siblings[0], siblings[1]) < 0.75
     assert similar(spark, rows) == want
+
+
+def test_repeated_passages_count_once(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        w = [f"w{rng.getrandbits(40)}" for _ in range(404)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:100] + w[50:100] * 5 + w[100:]))]
+    assert all(jaccard(rows[2 * i][1], rows[2 * i + 1][1]) > 0.95 for i in range(40))
+    assert similar(spark, rows) == {i: i // 2 * 2 for i in range(80)}
