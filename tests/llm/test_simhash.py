@@ -143,3 +143,16 @@ def test_repeated_passages_count_once(spark):
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:100] + w[50:100] * 5 + w[100:]))]
     assert all(jaccard(rows[2 * i][1], rows[2 * i + 1][1]) > 0.95 for i in range(40))
     assert similar(spark, rows) == {i: i // 2 * 2 for i in range(80)}
+
+
+def test_pairs_at_the_threshold_against_brute_force(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(150):
+        base = " ".join(f"w{rng.getrandbits(40)}" for _ in range(rng.randrange(150, 300)))
+        n = len(base.split())
+        at = rng.randrange(20, n // 2)
+        rows += [(2 * i, base), (2 * i + 1, changed(rng, base, range(at, at + int(n * rng.uniform(0.06, 0.11)))))]
+    pairs, want = brute_classes(rows)
+    assert sum(jaccard(dict(rows)[a], dict(rows)[b]) < 0.85 for a, b in pairs) > 60 and len(pairs) < 150
+    assert similar(spark, rows) == want
