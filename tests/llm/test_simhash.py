@@ -156,3 +156,18 @@ def test_pairs_at_the_threshold_against_brute_force(spark):
     pairs, want = brute_classes(rows)
     assert sum(jaccard(dict(rows)[a], dict(rows)[b]) < 0.85 for a, b in pairs) > 60 and len(pairs) < 150
     assert similar(spark, rows) == want
+
+
+def test_a_large_group_of_different_copies_needs_few_comparisons(spark):
+    n, compared = 3000, []
+    # sets of 100 shingles: 90 that all share, one of two halves of 5, and 5 of their own; halves are alike by less than 0.9
+    rows = [(f"{k}", i, 100, pos) for i in range(n) for pos, k in enumerate([*(f"own {i} {j}" for j in range(5)), *(f"half {i % 2} {j}" for j in range(5)), *range(11)])]
+    entries = spark.createDataFrame(rows, "name string, id long, size int, pos int").selectExpr("xxhash64(name) as key", "id", "size", "pos")
+
+    def verify(pairs):
+        compared.append(pairs.count())
+        return pairs.filter("(b - a) % 2 = 0")
+    edges = [(r["a"], r["b"]) for r in simhash.similar_links(entries, 0.8, verify).collect()]
+    assert classes(edges, range(n)) == {i: i % 2 for i in range(n)}
+    # the halves, which differ, are compared in full; pairs of one half are not
+    assert sum(compared) <= n * n / 4 + 20 * n
