@@ -107,12 +107,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _fit(owner: np.ndarray, which: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 800, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def _fit(owner: np.ndarray, which: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 800, penalty: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Maximum penalised likelihood of the cumulative-link model by Adam; thresholds by their first value and gaps.
 
-    All weights start equal, with thresholds between the numbers of features that the grades have on average.
+    All weights start equal, with thresholds between the numbers of features that the grades have on average.  `weight`
+    says for how many documents each one stands.
     """
     n = len(grade)
+    each = np.full(n, 1 / max(1, n)) if weight is None else weight / weight.sum()
     number = np.bincount(owner, minlength=n)
     means = np.array([number[grade == k].mean() if (grade == k).any() else np.nan for k in range(GRADES + 1)])
     means = np.maximum.accumulate(np.where(np.isnan(means), 0, means))
@@ -126,10 +128,10 @@ def _fit(owner: np.ndarray, which: np.ndarray, grade: np.ndarray, n_features: in
         s = p * (1 - p)
         at = np.arange(n)
         mass = np.maximum(p[at, grade] - p[at, grade + 1], 1e-9)
-        by_x = -(s[at, grade] - s[at, grade + 1]) / mass / n
+        by_x = -(s[at, grade] - s[at, grade + 1]) / mass * each
         by_theta = np.zeros(GRADES)
         for k in range(1, GRADES + 1):
-            by_theta[k - 1] = (np.where(grade == k, s[:, k], 0) - np.where(grade == k - 1, s[:, k], 0)) @ (1 / mass) / n
+            by_theta[k - 1] = (np.where(grade == k, s[:, k], 0) - np.where(grade == k - 1, s[:, k], 0)) @ (each / mass)
         tail = np.cumsum(by_theta[::-1])[::-1]
         grad = np.concatenate([np.bincount(which, weights=by_x[owner], minlength=n_features) + penalty * w / max(1, n_features) ** 0.5, [tail[0]], tail[1:] * np.exp(gaps)])
         for i, power in ((0, 1), (1, 2)):
@@ -146,7 +148,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     Of contradicting labels for one id the toxic one counts.  Without toxic labels nothing is ever toxic.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg((F.max(label) == 1).alias("toxic"))
-    present = known.join(df.filter(F.col(text).isNotNull()).select(id_col), id_col, "left_semi")
+    present = materialise(known.join(df.filter(F.col(text).isNotNull()).select(id_col), id_col, "left_semi"))
+    known_ids = {r["toxic"]: r["count"] for r in present.groupBy("toxic").count().collect()}
     order = F.xxhash64(id_col)
     picked = [present.filter(F.col("toxic") == v).orderBy(order, id_col).limit(counted) for v in (True, False)]
     # at most twice `counted` ids are broadcast, so that no text is shuffled
@@ -181,7 +184,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     grade = np.where(y, 1 + np.searchsorted(thirds, number, side="left"), 0).clip(0, GRADES)
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     which = np.array([i for x in lists for i in x], np.int64)
-    weights, thresholds = _fit(owner, which, grade, len(chosen))
+    # a bound on one class must not change the ratio of the classes
+    share = {v: known_ids[v] / min(known_ids[v], counted) * sizes[v] / min(sizes[v], sample) for v in sizes}
+    weight = np.where(y, share.get(True, 1.0), share.get(False, 1.0))
+    weights, thresholds = _fit(owner, which, grade, len(chosen), weight=weight)
     return Model(chosen, weights, thresholds)
 
 

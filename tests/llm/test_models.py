@@ -116,3 +116,16 @@ def test_word_hashes():
     whole, four = w.hashes(4)
     assert w.owner.tolist() == [0, 0, 0, 2, 2, 2] and whole[0] == whole[2] and len(set(whole.tolist())) == 5
     assert four[3] == four[4] != 0 and four[5] == 0
+
+
+def test_toxicity_sample_keeps_the_ratio_of_classes(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(4000):
+        toxic = i % 8 == 0
+        w = [f"plain{k}" for k in rng.integers(0, 300, 40)] + ["vilo"] * int(rng.random() < (0.6 if toxic else 0.1)) + ["grunk"] * int(rng.random() < (0.6 if toxic else 0.1))
+        rows.append((i, " ".join(w), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    full, part = (np.mean([r["p_toxic"] for r in ordinal.score(df.select("doc_id", "text"), "text", ordinal.train(df, df.select("doc_id", "toxic"), "doc_id", "text", "toxic", **bound)).collect()])
+                  for bound in ({}, {"sample": 400}))
+    assert full == pytest.approx(1 / 8, abs=0.03) and part == pytest.approx(full, abs=0.03)
