@@ -10,17 +10,28 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: How many distinct pieces and token pairs a worker remembers before it starts afresh; results do not depend on it.
-REMEMBERED = 500_000
+from .textvec import chunks
+
+#: Bytes of pieces, in either of two generations, and number of token pairs (about 80 bytes each) that a worker
+#: remembers; results do not depend on them.
+PIECE_BYTES, PAIRS = 16_000_000, 250_000
+#: Pieces of a long text that are worked on at once.
+BLOCK = 250_000
+#: What the empty prefix ends with.
+START = -1
 
 
 class Vocabulary:
@@ -30,12 +41,18 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        by_end: dict[bytes, set[int]] = {}
-        for t in ranks:
-            by_end.setdefault(t[-2:], {1}).add(len(t))
-        #: Lengths of tokens that end with these two bytes, longest first; 1 is always among them.
-        self.lengths = {end: sorted(ls, reverse=True) for end, ls in by_end.items() if len(end) == 2}
-        self._pairs: dict[int, bool] = {}
+        #: Finds all tokens that end at each byte; bytes are written as the characters of the same numbers.
+        self.matches = ahocorasick.Automaton()
+        for t, r in ranks.items():
+            self.matches.add_word(t.decode("latin-1"), (r, len(t)))
+        self.matches.make_automaton()
+        top = range(max(self.bytes_of, default=-1) + 1)
+        #: By token: its bytes, and its number with a comma.
+        self.token_bytes = pa.array([self.bytes_of.get(i, b"") for i in top], pa.binary())
+        self.token_names = pa.array([b"%d," % i for i in top], pa.binary())
+        #: Pairs of neighbours that are known to be possible, and not.
+        self.good: set[int] = set()
+        self.bad: set[int] = set()
         self._halves: dict[int, tuple[int, int]] = {}
 
     @classmethod
@@ -73,12 +90,12 @@ class Vocabulary:
         from it at rank `until`; a lower rank of x + y would have closed the border.  Of equal ranks the leftmost
         goes first: the left token's own merge before x + y, x + y before the right token's own.
         """
-        key = left << 32 | right
-        known = self._pairs.get(key)
-        if known is not None:
-            return known
-        if len(self._pairs) > 4 * REMEMBERED:
-            self._pairs.clear()
+        pair = left << 32 | right
+        if pair in self.good or pair in self.bad:
+            return pair in self.good
+        if len(self.good) + len(self.bad) > PAIRS:
+            self.good.clear()
+            self.bad.clear()
         x, y, until, open_ = left, right, 1 << 60, True
         bytes_of, rank = self.bytes_of, self.ranks.get
         while True:
@@ -93,30 +110,32 @@ class Vocabulary:
                 until, y = y + 1, self.halves(y)[0]
             else:
                 break
-        self._pairs[key] = open_
+        (self.good if open_ else self.bad).add(pair)
         return open_
 
 
-def last_token(v: Vocabulary, data: bytes | bytearray, last: list[int], end: int) -> int:
-    """The unique valid last token of data[:end], given those of all shorter prefixes."""
-    window = bytes(data[max(0, end - v.longest):end])
-    size, rank, pairs = len(window), v.ranks.get, v._pairs
-    for n in v.lengths.get(window[-2:], (1,)) if size > 1 else (1,):
-        if n <= size:
-            token = rank(window[size - n:])
-            if token is not None:
-                if n == end:
-                    return token
-                left = last[end - n]
-                ok = pairs.get(left << 32 | token)
-                if v.follows(left, token) if ok is None else ok:
-                    return token
-    raise ValueError("the vocabulary lacks a single byte")
-
-
-def walk_back(v: Vocabulary, last: list[int], end: int) -> list[int]:
+def fill(v: Vocabulary, text: str, last: list[int | None]) -> None:
+    """Set the gaps (None) of `last[1:]` to the unique valid last token of the prefix that ends with each byte.
+
+    `text` has bytes as characters; `last[i + 1]` belongs to the byte at i.  A character that is no byte ends one string,
+    and another starts after it: its place in `last` holds START, as does `last[0]`.  A token that ends at a byte is the
+    one looked for if it can follow what ends where it begins.
+    """
+    good, bad, follows = v.good, v.bad, v.follows
+    for end, (token, size) in v.matches.iter(" " + text, 1):
+        if last[end] is None:
+            left = last[end - size]
+            if left < 0:
+                last[end] = token
+                continue
+            pair = left << 32 | token
+            if pair in good or pair not in bad and follows(left, token):
+                last[end] = token
+
+
+def walk_back(v: Vocabulary, last: list[int | None], start: int, end: int) -> list[int]:
     out = []
-    while end:
+    while end > start:
         out.append(last[end])
         end -= len(v.bytes_of[out[-1]])
     return out[::-1]
@@ -126,18 +145,22 @@ class PrefixEncoder:
     """The encoding of a byte string that can grow and be edited; `last[i]` ends the encoding of its first i bytes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, bytearray(), [-1]
+        self.vocabulary, self.data, self.last = vocabulary, bytearray(), [START]
         self.append(data)
 
-    def _token(self, end: int) -> int:
-        """The last token of the first `end` bytes, from what is stored for shorter prefixes."""
-        return last_token(self.vocabulary, self.data, self.last, end)
+    def _fill(self, done: int, end: int) -> None:
+        """Complete `last` for the prefixes of done + 1 to `end` bytes."""
+        first = max(0, done - self.vocabulary.longest)
+        part = self.last[first:done + 1] + [None] * (end - done)
+        fill(self.vocabulary, self.data[first:end].decode("latin-1"), part)
+        if None in part:
+            raise ValueError("the vocabulary lacks a single byte")
+        self.last[done + 1:end + 1] = part[done + 1 - first:]
 
     def append(self, more: bytes) -> None:
         at = len(self.data)
         self.data += more
-        for end in range(at + 1, len(self.data) + 1):
-            self.last.append(self._token(end))
+        self._fill(at, len(self.data))
 
     def edit(self, start: int, removed: int, inserted: bytes) -> int:
         """Replace `removed` bytes at `start`; returns how many prefixes were computed anew."""
@@ -147,75 +170,137 @@ class PrefixEncoder:
         self.data[start:start + removed] = inserted
         del self.last[start + 1:]
         same = 0
-        first = start + len(inserted)
-        for end in range(start + 1, len(self.data) + 1):
-            token = self._token(end)
-            self.last.append(token)
-            if end > first:
+        at, first = start, start + len(inserted)
+        while at < len(self.data):
+            to = min(at + 2 * self.vocabulary.longest, len(self.data))
+            self._fill(at, to)
+            for end in range(max(at, first) + 1, to + 1):
                 # once the longest token fits into the part that agrees, everything after it agrees too
-                same = same + 1 if token == old_tail[end - first - 1] else 0
-                if same > self.vocabulary.longest:
-                    self.last += old_tail[end - first:]
-                    return end - start
-        return len(self.data) - start
+                same = same + 1 if self.last[end] == old_tail[end - first - 1] else 0
+            at = to
+            if same > self.vocabulary.longest:
+                self.last += old_tail[at - first:]
+                break
+        return at - start
 
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the first `end` bytes (all)."""
-        return walk_back(self.vocabulary, self.last, len(self.data) if end is None else end)
-
-
-@lru_cache(4)
-def _vocabulary(path: str) -> Vocabulary:
-    return Vocabulary.read(path)
-
-
-def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
-    """One match of the splitting pattern; a whole token stands for itself."""
-    token = vocabulary.ranks.get(piece)
-    if token is not None:
-        return [token]
-    last = [-1]
-    for end in range(1, len(piece) + 1):
-        last.append(last_token(vocabulary, piece, last, end))
-    return walk_back(vocabulary, last, len(piece))
+        return walk_back(self.vocabulary, self.last, 0, len(self.data) if end is None else end)
+
+
+@lru_cache(1)
+def _pieces(path: str) -> Pieces:
+    """Of this worker; it outlives a task."""
+    return Pieces(Vocabulary.read(path))
+
+
+def encode_all(v: Vocabulary, pieces: list[bytes]) -> list[list[int]]:
+    """Each piece by itself: their prefixes are filled in one pass; a whole token stands for itself."""
+    text = "\u0100".join([p.decode("latin-1") for p in pieces])
+    last: list[int | None] = [None] * (len(text) + 1)
+    starts, at = [], 0
+    for p in pieces:
+        starts.append(at)
+        last[at] = START
+        at += len(p) + 1
+    fill(v, text, last)
+    whole = v.ranks.get
+    return [[token] if (token := whole(p)) is not None else walk_back(v, last, a, a + len(p)) for p, a in zip(pieces, starts)]
+
+
+class Pieces:
+    """Token ids of pieces.  Those of the last many are remembered; what was not used for a while is forgotten."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def ids(self, pieces: list[str]) -> pa.ListArray:
+        """The ids of each piece, in order."""
+        distinct = list(dict.fromkeys(pieces))
+        place = dict(zip(distinct, range(len(distinct))))
+        found = list(map(self.young.get, distinct))
+        unknown = [i for i, f in enumerate(found) if f is None]
+        missing = []
+        for i in unknown:
+            found[i] = self.old.get(distinct[i])
+            if found[i] is None:
+                missing.append(i)
+        for a, b in chunks([distinct[i] for i in missing], 1 << 19):
+            for i, ids in zip(missing[a:b], encode_all(self.vocabulary, [distinct[i].encode() for i in missing[a:b]])):
+                found[i] = array("i", ids).tobytes()
+        for i in unknown:
+            if len(found[i]) < 256:
+                self.young[distinct[i]] = found[i]
+                self.size += 200 + len(distinct[i]) + len(found[i])
+        if self.size > PIECE_BYTES:
+            self.young, self.old, self.size = {}, self.young, 0
+        offsets = np.concatenate([[0], np.cumsum(list(map(len, found)), dtype=np.int64) // 4]).astype(np.int32)
+        each = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        return each.take(pa.array(np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))))
+
+
+def _blocks(texts: list[str], pattern: regex.Pattern) -> Iterator[tuple[list[str], list[tuple[int, int, int]]]]:
+    """Pieces of many texts, with (text, first, end) of each; a long text comes in several blocks."""
+    for a, b in chunks(texts):
+        if len(texts[a]) > BLOCK * 8:
+            found = pattern.finditer(texts[a])
+            while block := [m.group() for m in islice(found, BLOCK)]:
+                yield block, [(a, 0, len(block))]
+        else:
+            pieces, cuts = [], []
+            for i in range(a, b):
+                at = len(pieces)
+                pieces += pattern.findall(texts[i])
+                cuts.append((i, at, len(pieces)))
+            yield pieces, cuts
+
+
+def _joined(words: pa.BinaryArray, which: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The chosen words one after another, and where each begins and the last ends."""
+    taken = words.take(which)
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[:len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+    return memoryview(taken.buffers()[2] or b""), ends
 
 
 def encode_bpe(df: DataFrame, text: str, vocabulary_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """Add `ids` (array<int>, if wanted), `n_tokens`, `ids_sha256` and `decoded_sha256`, the digest of the decoded ids.
 
-    Every match of `pattern` is encoded separately, without special tokens.  A null text counts as empty: no ids.
-    Other columns pass through, but those named like a new one are replaced.  The vocabulary file must exist under
-    `vocabulary_path` on every node, as part of an installed package does.
+    Every match of `pattern` (without groups) is encoded separately, without special tokens.  A null text counts as
+    empty: no ids.  Other columns pass through, but those named like a new one are replaced.  The vocabulary file must
+    exist under `vocabulary_path` on every node, as part of an installed package does.  A worker holds the pieces of
+    about 2 MB of text at once, however long a text is, and the ids of one text if they are wanted.
     """
     new = [*([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     kept = [f for f in df.schema.fields if f.name not in {x.name for x in new}]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(vocabulary_path)
-        split = regex.compile(pattern).findall
-        pieces: dict[str, tuple[str, int, tuple[int, ...]]] = {}
+        table = _pieces(vocabulary_path)
+        v, split = table.vocabulary, regex.compile(pattern)
         for batch in batches:
-            counts, id_hash, byte_hash, all_ids = [], [], [], []
-            for value in batch.column(text).to_pylist():
-                own = []
-                for p in split(value or ""):
-                    got = pieces.get(p)
-                    if got is None:
-                        if len(pieces) > REMEMBERED:
-                            pieces.clear()
-                        ids = encode_piece(v, p.encode())
-                        got = (",".join(map(str, ids)), len(ids), tuple(ids))
-                        if len(p) < 64:
-                            pieces[p] = got
-                    own.append(got)
-                ids = [i for g in own for i in g[2]]
-                counts.append(len(ids))
-                id_hash.append(hashlib.sha256(",".join([g[0] for g in own]).encode()).hexdigest())
-                byte_hash.append(hashlib.sha256(b"".join(map(v.bytes_of.__getitem__, ids))).hexdigest())
-                if with_ids:
-                    all_ids.append(np.array(ids, np.int32))
-            columns = [pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns, pa.array(counts, pa.int64()), pa.array(id_hash), pa.array(byte_hash)], names=[*names, *(f.name for f in new)])
-
-    return df.mapInArrow(run, T.StructType([*kept, *new]))
+            texts = [t or "" for t in batch.column("__text").to_pylist()]
+            counts, parts = [0] * len(texts), [[] for _ in texts]
+            names_of, bytes_of = ([hashlib.sha256() for _ in texts] for _ in range(2))
+            for pieces, cuts in _blocks(texts, split):
+                lists = table.ids(pieces)
+                ends, ids = lists.offsets.to_numpy(), lists.flatten()
+                (numbers, number_at), (decoded, byte_at) = _joined(v.token_names, ids), _joined(v.token_bytes, ids)
+                for i, a, b in cuts:
+                    a, b = ends[a] - ends[0], ends[b] - ends[0]
+                    if b > a:
+                        if counts[i]:
+                            names_of[i].update(b",")
+                        names_of[i].update(numbers[number_at[a]:number_at[b] - 1])
+                        bytes_of[i].update(decoded[byte_at[a]:byte_at[b]])
+                        counts[i] += int(b - a)
+                        if with_ids:
+                            parts[i].append(ids[a:b].to_numpy())
+            columns = [pa.array([np.concatenate(p) if p else np.zeros(0, np.int32) for p in parts], pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), *columns, pa.array(counts, pa.int64()), pa.array([h.hexdigest() for h in names_of], pa.string()), pa.array([h.hexdigest() for h in bytes_of], pa.string())],
+                names=[*names, *(f.name for f in new)])
+
+    return df.select(*names, F.col(text).alias("__text")).mapInArrow(run, T.StructType([*kept, *new]))
