@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.session import materialise, shared_dir
+from paperloom.session import materialise, release, shared_dir
 
-__all__ = ["WORD", "crc_of_id", "materialise", "shared_dir", "shuffle_partitions", "table", "utf8"]
+__all__ = ["WORD", "crc_of_id", "materialise", "release", "shared_dir", "shuffle_partitions", "table", "utf8"]
 
 #: A word: a run of anything but the ASCII white space 0x20 and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         new = materialise(star(star(now, large=True), large=False))
         # at the fixed point every node points straight at its component and at nothing else
         same = new.count() == now.count() and new.join(now, ["a", "b"], "left_anti").isEmpty()
+        release(now)
         now = new
         if same:
             break

@@ -10,7 +10,8 @@ fingerprints that can have no partner at all.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,74 +21,88 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, utf8
+from .common import materialise, release, shuffle_partitions, utf8
 from .graph import connected_components
 
 SEED = 42
 RADIUS = 3
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def shingle_blocks(text: bytes, words: int, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Shingles of the lower-cased words, repeats included, some at a time; words are those of bytes.split.
+
+    A text of fewer words is one shingle, one without words has none.  About `most` bytes are split at once.
+    """
+    own: list[bytes] = []
+    at, found = 0, False
+    while at < len(text):
+        space = _SPACE.search(text, at + most)
+        end = space.start() if space else len(text)
+        own += text[at:end].lower().split()  # of bytes: A-Z only, and ASCII white space
+        at = end
+        if len(own) >= words:
+            found = True
+            line = b" ".join(own)
+            size = np.fromiter(map(len, own), np.int64, len(own)) + 1
+            ends = np.cumsum(size)
+            yield [line[a:b] for a, b in zip((ends - size)[:len(own) - words + 1].tolist(), (ends[words - 1:] - 1).tolist())]
+            own = own[len(own) - words + 1:]
+    if own and not found:
+        yield [b" ".join(own)]
+
+
 def shingles_of(text: bytes, words: int) -> list[bytes]:
-    """Shingles of the lower-cased words, repeats included; a shorter text is one shingle, one without words has none."""
-    own = text.lower().split()  # of bytes: A-Z only, and ASCII white space
-    if not own:
-        return []
-    if len(own) <= words:
-        return [b" ".join(own)]
-    line = b" ".join(own)
-    ends = np.cumsum([len(w) + 1 for w in own])
-    starts = ends - [len(w) + 1 for w in own]
-    return [line[a:b] for a, b in zip(starts[:len(own) - words + 1].tolist(), (ends[words - 1:] - 1).tolist())]
-
-
-def _mixed(h: np.ndarray, number: int) -> np.ndarray:
-    """Further hash words, from a shingle's hash; number 0 is the hash itself."""
-    if not number:
-        return h
-    h = h + np.uint64(0x9E3779B97F4A7C15 * number & (1 << 64) - 1)
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
-
-
-def fingerprints_of(texts: list[bytes], words: int, n_words: int = 1) -> np.ndarray:
-    """64-bit SimHash words of each text: a bit is set if it is in over half the shingles' hashes."""
-    out = np.zeros((len(texts), n_words), np.uint64)
+    return [s for block in shingle_blocks(text, words) for s in block]
+
+
+def _hashes(shingles: Iterable[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    for i, text in enumerate(texts):
-        own = shingles_of(text, words)
-        total = np.zeros((n_words, 64), np.int64)
-        for a in range(0, len(own), 1 << 16):
-            h = np.array([digest(s, SEED) for s in own[a:a + (1 << 16)]], np.uint64)
-            for j in range(n_words):
-                bits = np.unpackbits(_mixed(h, j).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                total[j] += bits.sum(0, dtype=np.int32)
-        if own:
-            out[i] = np.packbits(2 * total > len(own), axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
+    return np.array([digest(s, SEED) for s in shingles], np.uint64)
 
 
-def simhash(df: DataFrame, text: str, words: int, n_words: int = 1, name: str = "fingerprint") -> DataFrame:
-    """Add `name`: array of `n_words` 64-bit SimHash words (signed longs) of `text` over shingles of `words` words.
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(h), 1 << 16):
+        total += np.unpackbits(h[a:a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return total
 
-    Null and wordless texts get zeros.  Words are runs of anything but ASCII white space; A-Z is lower-cased.
+
+def _majority(bits: np.ndarray, n: int) -> int:
+    """The word of the bits that more than half of `n` hashes have; zero for none."""
+    return int(np.packbits(2 * bits > n, bitorder="little").view(np.int64)[0])
+
+
+def fingerprint_of(text: bytes, words: int) -> int:
+    """SimHash, as a signed number: a bit is set if it is in over half the shingles' hashes, repeats included."""
+    bits, n = np.zeros(64, np.int64), 0
+    for block in shingle_blocks(text, words):
+        bits += _bit_counts(_hashes(block))
+        n += len(block)
+    return _majority(bits, n)
+
+
+def simhash(df: DataFrame, text: str, words: int, name: str = "fingerprint") -> DataFrame:
+    """Add `name`: the 64-bit SimHash (a signed long) of `text` over shingles of `words` words.
+
+    Null and wordless texts get zero.  Words are runs of anything but ASCII white space; A-Z is lower-cased.
     Other columns pass through; one of the same name is replaced.
     """
-    helper = "__utf8"
     kept = [f for f in df.schema.fields if f.name != name]
     names = [f.name for f in kept]
-    schema = T.StructType([*kept, T.StructField(name, T.ArrayType(T.LongType()))])
+    schema = T.StructType([*kept, T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = fingerprints_of(batch.column(helper).to_pylist(), words, n_words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(list(got), pa.list_(pa.int64()))], names=[*names, name])
+            got = [fingerprint_of(t, words) for t in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.int64())], names=[*names, name])
 
-    return df.select(*names, utf8(text).alias(helper)).mapInArrow(run, schema)
+    return df.select(*names, utf8(text).alias("__utf8")).mapInArrow(run, schema)
 
 
 # ---- links within Hamming distance 3 ---------------------------------------------------------------------------
@@ -107,6 +122,7 @@ def with_neighbours(fingerprints: DataFrame, parts: int = 3) -> DataFrame:
     If two differ in 1 to 3 bits, leaving out a part of the bits that holds one of these leaves 2 at most; so their
     balls of radius 1 over the other bits meet.  Fingerprints alone in all their buckets have no neighbour.
     """
+    fingerprints = fingerprints.repartition(shuffle_partitions(fingerprints.sparkSession), "f")
     rows = []
     for p in range(parts):
         own = [b for b in range(64) if b * parts // 64 != p]
@@ -136,6 +152,11 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return met.filter(_distance(F.col("f"), F.col("c")) <= RADIUS).select(F.col("f").alias("a"), F.col("c").alias("b"))
 
 
+def near_links(fingerprints: DataFrame) -> DataFrame:
+    """`links` among those fingerprints (column `f`, distinct) that the exact filter leaves."""
+    return links(materialise(with_neighbours(fingerprints)))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text: str, words: int = 3) -> DataFrame:
     """(id, fingerprint hex, component_id) of every row: classes of texts linked at 3 or fewer differing bits.
 
@@ -143,10 +164,9 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, words: int = 3) -> Da
     fingerprint zero, linked like any other; repeated ids give repeated rows; a null id can only get a component
     through others.  The column named `id_col` keeps its name.
     """
-    marked = materialise(simhash(df.select(F.col(id_col).alias("id"), F.col(text).alias("t")), "t", words).select("id", F.col("fingerprint")[0].alias("f")))
+    marked = materialise(simhash(df.select(F.col(id_col).alias("id"), F.col(text).alias("t")), "t", words).select("id", F.col("fingerprint").alias("f")))
     lowest = materialise(marked.groupBy("f").agg(F.min("id").alias("low")))
-    some = materialise(with_neighbours(lowest.select("f")))
-    tree = connected_components(links(some))
+    tree = connected_components(near_links(lowest.select("f")))
     joined = lowest.join(tree.select(F.col("node").alias("f"), "component"), "f", "left")
     classes = joined.select("f", "low", F.coalesce("component", "f").alias("k"))
     # most classes have one fingerprint; only the others are gathered
@@ -164,7 +184,8 @@ COUNTED, COMMON = 10_000, 500_000
 
 def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(shingles_of(text, words))], np.uint64).view(np.int64))
+    blocks = [np.unique(_hashes(set(block)).view(np.int64)) for block in shingle_blocks(text, words)]
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.int64)
 
 
 def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,19 +208,19 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def with_prefix(rows: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Add `size`, the number of distinct shingles of `t`, and `prefix`: hashes of the first of them, from rare to common.
+    """Add what the distinct shingles of `t` give: `size`, their number, `f`, their SimHash, and `prefix`, the hashes of
+    the first of them, from rare to common.
 
     Sets of that similarity have at least `similarity` of either in common, so one of the first `size` less that, plus one.
     A wordless text has the prefix 0.
     """
     shared = rows.sparkSession.sparkContext.broadcast(common)
-    names = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("size", T.IntegerType()), T.StructField("f", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
         for batch in batches:
-            sizes, prefixes = [], []
+            sizes, prints, prefixes = [], [], []
             for text in batch.column("__utf8").to_pylist():
                 h = _shingle_hashes(text, words)
                 count = np.zeros(len(h), np.int64)
@@ -208,10 +229,11 @@ def with_prefix(rows: DataFrame, words: int, similarity: float, common: tuple[np
                     count = np.where(known[place] == h, counts[place], 0)
                 own = h[np.lexsort((h, count))]
                 sizes.append(len(h))
+                prints.append(_majority(_bit_counts(h), len(h)))
                 prefixes.append(own[:len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] if len(h) else np.zeros(1, np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=[*names, "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=schema.names)
 
-    return rows.select(*names, utf8("t").alias("__utf8")).mapInArrow(run, schema)
+    return rows.select("*", utf8("t").alias("__utf8")).mapInArrow(run, schema)
 
 
 def _can_be_similar(similarity: float) -> Column:
@@ -220,39 +242,60 @@ def _can_be_similar(similarity: float) -> Column:
     return left + 1e-9 >= (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity))
 
 
-def similar_links(entries: DataFrame, similarity: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _pairs(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _with_component(live: DataFrame, edges: DataFrame) -> DataFrame:
+    tree = connected_components(edges).withColumnRenamed("node", "id")
+    return live.join(tree.hint("merge"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def similar_links(entries: DataFrame, similarity: float, verify: Callable[[DataFrame], DataFrame], near: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that connect just the rows which pairs of that similarity connect.
 
     `entries` (key, id, size, pos) are the rows' prefixes; `verify` returns those of the pairs (a, b), a < b, that have the
-    similarity.  First every row meets one row of each key, another one in each round, while that still links a good
-    part; rows linked so far are one component.  Then all pairs of different components that share a key are compared:
-    within a key, the rows outside its largest component with all others.  Pairs inside a component need no comparison,
-    so the work grows with the pairs that share a rare shingle but no component.  Python never holds a key's rows.
+    similarity.  The pairs `near` are verified first: what they link is one component.  Then every row meets one row of
+    each key, another one in each round, while that still links a good part.  Then all pairs of different components
+    that share a key are compared: within a key, the rows outside its largest component with all others.  Pairs inside
+    a component need no comparison, so the work grows with the pairs that share a rare shingle but no component.
+    Python never holds a key's rows.
     """
-    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     several = entries.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1").drop("m")
     live = materialise(several.withColumn("c", F.col("id")))
     tried = edges = None
-    for number in range(1, 1 << 30):
-        pivots = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("o"), "id", "size", "pos", "c")).alias("p")).select("key", "p.*")
-        met = live.alias("x").join(pivots.alias("y").hint("merge"), F.col("x.key") == F.col("y.key")).filter(F.col("x.c") != F.col("y.c"))
-        pairs = met.filter(_can_be_similar(similarity)).select(*pair).distinct()
+
+    def compare(pairs: DataFrame) -> tuple[int, int]:
+        nonlocal tried, edges
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         good = materialise(verify(pairs))
-        compared, linked = pairs.count(), good.count()
         tried, edges = (pairs, good) if tried is None else (tried.unionByName(pairs), edges.unionByName(good))
-        if linked:
-            tree = connected_components(edges).withColumnRenamed("node", "id")
-            live = live.drop("c").join(tree.hint("merge"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        sizes = live.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("count", "c"))["c"].alias("most"))
-        live = materialise(live.join(sizes.filter("components > 1").hint("merge"), "key").select("key", "id", "size", "pos", "c", "most"))
+        return pairs.count(), good.count()
+
+    def settle(live: DataFrame, moved: bool) -> DataFrame:
+        """Entries of keys that several components have, with the component that has most of them."""
+        now = _with_component(live.drop("c"), edges) if moved else live
+        sizes = now.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("count", "c"))["c"].alias("most"))
+        out = materialise(now.join(sizes.filter("components > 1").hint("merge"), "key").select("key", "id", "size", "pos", "c", "most"))
+        release(live)
+        return out
+
+    if near is not None and compare(near)[1]:
+        live = settle(live, True).drop("most")
+    for number in range(1, 1 << 30):
+        pivots = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("o"), "id", "size", "pos", "c")).alias("p")).select("key", "p.*")
+        met = live.alias("x").join(pivots.alias("y").hint("merge"), F.col("x.key") == F.col("y.key")).filter(F.col("x.c") != F.col("y.c"))
+        compared, linked = compare(met.filter(_can_be_similar(similarity)).select(*_pairs("x.id", "y.id")).distinct())
+        live = settle(live, linked > 0)
         if 10 * linked <= compared:
             break
         live = live.drop("most")
     few = live.filter("c <> most")
     met = few.alias("x").join(live.alias("y").hint("merge"), F.col("x.key") == F.col("y.key"))
     met = met.filter((F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))) & _can_be_similar(similarity))
-    return edges.unionByName(verify(materialise(met.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))))
+    compare(met.select(*_pairs("x.id", "y.id")).distinct())
+    release(live)
+    return edges
 
 
 def _similarities(a: list[bytes], b: list[bytes], words: int) -> list[float]:
@@ -266,16 +309,26 @@ def _similarities(a: list[bytes], b: list[bytes], words: int) -> list[float]:
 def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) of the rows that have a partner: classes of texts whose word shingles have that Jaccard similarity.
 
-    Equal texts are one class to begin with.  Candidate pairs of different texts share one of their rarest shingles, which
-    no similar pair can fail to; each is verified on the shingles of the whole texts.  Wordless texts are alike.
+    Equal texts are one class to begin with.  Of the different ones, those with SimHash words (over distinct shingles)
+    within 3 bits of each other meet by ball hashing and are verified on the shingles of the whole texts.  Similar texts
+    can differ in more bits: the rest is found by the rarest shingles, one of which every similar pair shares, and is
+    verified likewise, so no pair of the similarity is left unconnected.  Wordless texts are alike; rows with a null id
+    have no class; repeated ids count as one row.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     marked = with_prefix(rows, words, similarity, common_shingles(rows, words))
-    marked = materialise(marked.select("id", "size", "prefix", F.xxhash64("t").alias("h"), F.length(F.coalesce("t", F.lit(""))).alias("n")))
+    marked = materialise(marked.select("id", "size", "f", "prefix", F.xxhash64("t").alias("h"), F.length(F.coalesce("t", F.lit(""))).alias("n")))
     # rows with equal texts: the smallest id stands for all
-    same = materialise(marked.filter("id is not null").groupBy("h", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first(F.struct("size", "prefix")).alias("p")))
+    same = materialise(marked.filter("id is not null").groupBy("h", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first(F.struct("size", "f", "prefix")).alias("p")))
     entries = same.select(F.col("first").alias("id"), F.col("p.size").alias("size"), F.posexplode("p.prefix").alias("pos", "key"))
 
+    prints = materialise(same.select("first", F.col("p.f").alias("f")))
+    lowest = materialise(prints.groupBy("f").agg(F.min("first").alias("low")))
+    ends = [lowest.select(F.col("f").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab"]
+    near = near_links(lowest.select("f")).join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select(*_pairs("low_a", "low_b"))
+    equal = prints.join(lowest.hint("merge"), "f").filter("first <> low").select(*_pairs("first", "low"))
+    near = near.unionByName(equal).filter("a <> b").distinct()
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -291,7 +344,7 @@ def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, simil
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")).hint("merge"), "b")
         return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-    tree = connected_components(similar_links(entries, similarity, verify))
+    tree = connected_components(similar_links(entries, similarity, verify, near))
     copies = marked.join(same.filter("rows > 1").select("h", "n", "first"), ["h", "n"]).select("id", "first")
     linked = copies.select("id", "first").unionByName(tree.select(F.col("node").alias("id"), F.col("node").alias("first"))).distinct()
     return linked.join(tree.select(F.col("node").alias("first"), "component"), "first", "left").select(F.col("id"), F.coalesce("component", "first").alias("component_id")).distinct()
