@@ -22,6 +22,7 @@ BLOCK = 512
 RATE = 8000
 PRECISION, SHIFT = 12, 10  # of the quantised predictor coefficients
 CHUNK = 1 << 19  # samples that are worked on at once
+MOST_POINTS = 900_000  # of a seek table, whose length has 24 bits
 
 # Fixed values of the format: the predictors of orders 0 to 4.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -150,7 +151,35 @@ def encode_batch(payloads: list[bytes], fixed: tuple[int, ...] = (0, 1, 2)) -> l
     """FLAC streams of non-empty byte strings, taken as unsigned 8-bit samples.  Each depends on its payload alone.
 
     A frame takes the cheapest of the fixed predictors of these orders, an order-2 linear predictor, raw or constant.
+    Payloads of more than CHUNK samples are worked on in runs of frames, the others together.
     """
+    short = iter(_frames([p for p in payloads if len(p) <= CHUNK], 0, fixed))
+    out = []
+    for p in payloads:
+        runs = [next(short)] if len(p) <= CHUNK else [_frames([p[at:at + CHUNK]], at // BLOCK, fixed)[0] for at in range(0, len(p), CHUNK)]
+        out.append(_stream(p, runs))
+    return out
+
+
+def _stream(payload: bytes, runs: list[tuple[bytes, np.ndarray, np.ndarray]]) -> bytes:
+    """A stream of the runs' frames: STREAMINFO, a SEEKTABLE with a point for each frame (of very many, every k-th)."""
+    size, n = np.concatenate([r[1] for r in runs]), np.concatenate([r[2] for r in runs])
+    packed = (RATE << 44) | (0 << 41) | (7 << 36) | (len(payload) if len(payload) < 1 << 36 else 0)
+    info = struct.pack(">HH", BLOCK, BLOCK) + int(size.min()).to_bytes(3, "big") + int(size.max()).to_bytes(3, "big") + packed.to_bytes(8, "big")
+    digest = hashlib.md5()
+    for at in range(0, len(payload), CHUNK):
+        digest.update((np.frombuffer(payload, np.uint8, min(CHUNK, len(payload) - at), at) ^ 128).tobytes())
+    some = np.arange(0, len(n), -(-len(n) // MOST_POINTS))
+    points = np.zeros(len(some), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
+    points["sample"], points["offset"], points["size"] = some * BLOCK, (np.cumsum(size) - size)[some], n[some]
+    seek = points.tobytes()
+    return b"".join([b"fLaC", bytes([0]), (34).to_bytes(3, "big"), info, digest.digest(), bytes([0x80 | 3]), len(seek).to_bytes(3, "big"), seek, *(r[0] for r in runs)])
+
+
+def _frames(payloads: list[bytes], number_from: int, fixed: tuple[int, ...]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
+    """(frames, bytes of each, samples of each) of every payload; the first frame has the number `number_from`."""
+    if not payloads:
+        return []
     sizes = np.array([len(p) for p in payloads], np.int64)
     frames = (sizes + BLOCK - 1) // BLOCK
     owner = np.repeat(np.arange(len(payloads)), frames)
@@ -198,7 +227,7 @@ def encode_batch(payloads: list[bytes], fixed: tuple[int, ...] = (0, 1, 2)) -> l
     quotient = u >> k
 
     # how many bits everything takes, and where it stands
-    heads = [_frame_header(int(a), int(b)) for a, b in zip(number, n)]
+    heads = [_frame_header(int(a) + number_from, int(b)) for a, b in zip(number, n)]
     head_bits = np.array([len(h) for h in heads], np.int64) * 8 + 8
     lead = np.where(coded, order * 8 + np.where(best == 5, 9 + 2 * PRECISION, 0) + 6, 0)
     width = np.where(np.repeat(coded, n), np.where(skip, 0, quotient + 1 + k), np.where(np.repeat(best == 6, n), 8, np.where(place == 0, 8, 0)))
@@ -238,17 +267,9 @@ def encode_batch(payloads: list[bytes], fixed: tuple[int, ...] = (0, 1, 2)) -> l
     data[start + frame_bytes - 2], data[start + frame_bytes - 1] = crc >> 8, crc & 255
 
     out, f = [], 0
-    for payload, count in zip(payloads, frames.tolist()):
+    for count in frames.tolist():
         own = slice(f, f + count)
-        base = int(start[f])
-        whole = data[base:int(start[f + count - 1] + frame_bytes[f + count - 1])].tobytes()
-        packed = (RATE << 44) | (0 << 41) | (7 << 36) | len(payload)
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(frame_bytes[own].min()).to_bytes(3, "big") + int(frame_bytes[own].max()).to_bytes(3, "big") + packed.to_bytes(8, "big")
-        info += hashlib.md5((np.frombuffer(payload, np.uint8) ^ 128).tobytes()).digest()
-        points = np.zeros(count, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
-        points["sample"], points["offset"], points["size"] = number[own] * BLOCK, start[own] - base, n[own]
-        seek = points.tobytes()
-        out.append(b"fLaC" + bytes([0]) + (34).to_bytes(3, "big") + info + bytes([0x80 | 3]) + len(seek).to_bytes(3, "big") + seek + whole)
+        out.append((data[int(start[f]):int(start[f + count - 1] + frame_bytes[f + count - 1])].tobytes(), frame_bytes[own], n[own]))
         f += count
     return out
 
@@ -475,13 +496,14 @@ def decode_batch(streams: list[bytes]) -> list[tuple[list[tuple[int, int, int, b
     seen = set(todo)
     while todo:
         heads = []
-        for i, at in todo:
+        now, todo = todo[:CHUNK // BLOCK], todo[CHUNK // BLOCK:]
+        for i, at in now:
             try:
                 heads.append((i, at, *_parse_header(streams[i], at, info[i].block)))
             except ValueError as e:
                 info[i].error = info[i].error or str(e)
         if not heads:
-            break
+            continue
         who, at, first, n, head = (np.array(x, np.int64) for x in zip(*heads))
         start = base[who] + at
         samples, end, bad = _decode_frames(data, 8 * (start + head), n)
@@ -492,7 +514,6 @@ def decode_batch(streams: list[bytes]) -> list[tuple[list[tuple[int, int, int, b
         if len(ok):
             right[ok] = crc16_of_ranges(data, start[ok], end[ok]) == data[end[ok]].astype(np.uint16) << 8 | data[end[ok] + 1]
         bytes_of = np.ascontiguousarray((samples + 128).astype(np.uint8).T)
-        todo = []
         for f in range(len(who)):
             i = int(who[f])
             if not right[f]:
