@@ -11,24 +11,28 @@ source's words are reached.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, apart, materialise
 
 WEIGHTS, CAP = (5, 2, 1), 3
-#: The Newton steps end when every source is within this share of its target, and at this number at the latest; the
-#: bracket halves by then, and the rounding reaches the target whatever the rates are.
-TOLERANCE, MOST_STEPS = 1e-6, 40
+#: The Newton steps end when every source is within this share of its target.
+TOLERANCE = 1e-6
 CELLS = 4096
 
 
-def sized(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Add `size` (words of the text; null: 0) and `draw`, a fixed number in [0, 1) made of id and text."""
-    return df.withColumns({
+def sized(df: DataFrame, id_col: str, text: str, source: str) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns renamed (and their new names), `source`, `size` (words of the text; null: 0) and `draw`, a
+    fixed number in [0, 1) made of id and text."""
+    own, name = apart(df)
+    id_col, text = name[id_col], name[text]
+    return own.withColumns({
+        "source": F.col(name[source]),
         "size": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"),
-        "draw": F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text)), 11) / float(1 << 53)})
+        "draw": F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text)), 11) / float(1 << 53)}), name
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -56,7 +60,10 @@ def _rate(multiplier: Column, size: Column, mean: Column, cap: int) -> Column:
 
 
 def balance(sizes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
-    """`goal` (see targets) with `multiplier`, `mean` and `full` (everything taken `cap` times) of each source."""
+    """`goal` (see targets) with `multiplier`, `mean` and `full` (everything taken `cap` times) of each source.
+
+    Every fourth step halves the bracket, so the steps end.
+    """
     cells = materialise(sizes.filter("size > 0").groupBy("source", "size").count())
     state = goal.join(cells.groupBy("source").agg((F.sum(F.col("size") * F.col("count")) / F.sum("count")).alias("mean")).withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
     state = materialise(state.withColumns({
@@ -65,7 +72,7 @@ def balance(sizes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
     columns = state.columns
 
     numbered = materialise(cells.join(goal.select(F.col("source").alias("__s"), "s"), F.col("source").eqNullSafe(F.col("__s"))).select("s", "size", "count"))
-    for _ in range(MOST_STEPS):
+    for number in count():
         mass = F.col("count") * F.col("size")
         rate = _rate(F.col("multiplier"), F.col("size"), F.col("mean"), cap)
         sums = numbered.join(state.select("s", "multiplier", "mean", "full"), "s").groupBy("s").agg(
@@ -77,9 +84,11 @@ def balance(sizes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
         step = x + F.try_divide(F.col("target") - F.col("words"), F.col("slope"))
         inside = step.isNotNull() & (F.col("low").isNull() | (step > F.col("low"))) & (F.col("high").isNull() | (step < F.col("high")))
         halved = F.when(F.col("low").isNull(), F.col("high") * 2 - 1).when(F.col("high").isNull(), F.col("low") * 2 + 1).otherwise((F.col("low") + F.col("high")) / 2)
-        off = F.when(F.col("full"), 0.0).otherwise(F.abs(F.col("words") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0)))
+        # done, too, once no number lies between the ends of the bracket
+        met = (F.col("low") == F.col("high")) | ((F.col("low") + F.col("high")) / 2).isin(F.col("low"), F.col("high"))
+        off = F.when(F.col("full") | F.coalesce(met, F.lit(False)), 0.0).otherwise(F.abs(F.col("words") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0)))
         new = state.drop("off").join(sums, "s", "left").withColumns({"low": low, "high": high, "off": F.coalesce(off, F.lit(0.0))})
-        moved = F.when(F.col("off") <= TOLERANCE, x).when(inside & (F.abs(step - x) < 20), step).otherwise(halved)
+        moved = F.when(F.col("off") <= TOLERANCE, x).when(inside & (F.abs(step - x) < 20) & F.lit(number % 4 != 3), step).otherwise(halved)
         state = materialise(new.withColumn("multiplier", F.coalesce(moved, x)).select(*columns))
         if state.agg(F.max("off")).first()[0] is None or state.filter(F.col("off") > TOLERANCE).isEmpty():
             break
@@ -123,3 +132,24 @@ def apply_mix(rows: DataFrame, plan: DataFrame, cap: int = CAP) -> DataFrame:
     extra = F.col("place").isNotNull() & (F.col("border").isNull() | (F.col("cell") < F.col("border")) | ((F.col("cell") == F.col("border")) & F.coalesce(F.col("place") <= F.col("upto"), F.lit(False))))
     copies = F.col("whole") + extra.cast("long")
     return out.withColumn("copies", copies).select(*own, "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(df: DataFrame, id_col: str, text: str, source: str, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """`df` with size, source_size, target, rate, copies and taken of every row; columns of these names are replaced.
+
+    `source` is a string column.  A null text has size 0, a null source is one of its own, null ids are like others, and
+    rows that agree in id and text are taken alike.  Texts are read twice, for the plan and for the result; only sizes
+    are written.
+    """
+    rows, name = sized(df, id_col, text, source)
+    out = apply_mix(rows, plan_mix(materialise(rows.select("source", "size", "draw")), weights, cap), cap)
+    new = ["size", "source_size", "target", "rate", "copies", "taken"]
+    return out.select(*[F.col(n).alias(c) for c, n in name.items() if c not in new], *new)
+
+
+def draw_mix(df: DataFrame, id_col: str, text: str, source: str, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """Every row of `df` as often as its source's target takes it, which may be never; its columns as they are."""
+    own, name = apart(df)
+    out = mix(own, name[id_col], name[text], name[source], weights, cap)
+    copy = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")
+    return out.select(*name.values(), copy).drop("copy").toDF(*df.columns)

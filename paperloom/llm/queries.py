@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, flac, langid, mil, mixing, ordinal, rules, shard, simhash
-from .common import crc_of_id, materialise, table, utf8
+from .common import crc_of_id, table, utf8
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -44,9 +44,7 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialise(mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "source", "size", "draw"))
-    out = mixing.apply_mix(rows, mixing.plan_mix(rows))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source").select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +88,7 @@ def _rules_sql() -> str:
     grids = " UNION ALL ".join(f"SELECT '{rule}' AS rule, unnest([{', '.join(map(repr, grid))}]::DOUBLE[]) AS cutoff" for rule, grid in rules.GRID.items())
     shares = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{rule}' AS rule, CASE WHEN {under} > 0 THEN {over}::DOUBLE / {under} ELSE 0 END AS value FROM stats" for rule, (over, under) in rules.SHARES.items())
     return rf"""
-    WITH base AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+    WITH base AS (SELECT doc_id, coalesce('s' || lang, 'n') AS stratum, coalesce(text, '') AS t FROM documents),
     listed AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM base),
     windows AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS tri FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM listed)),

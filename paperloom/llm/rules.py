@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, apart, materialise
 
 #: Highest share of good documents that one rule may reject in a stratum, and the chance that this is ever exceeded.
 RISK, DELTA = 0.005, 0.05
@@ -46,21 +46,23 @@ def _repeated(words: Column) -> Column:
             ((k > 0) & (F.get(sorted_windows, k - 1)["h"] == x["h"])) | ((k < last) & (F.get(sorted_windows, k + 1)["h"] == x["h"])), x["i"]))
         return covered(F.sort_array(F.filter(marked, lambda i: i.isNotNull())))
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    def starts(w: Column) -> Column:
+        return F.sequence(F.lit(0), F.size(w) - 3)
 
-    def count(h: Column) -> Column:
-        some = _let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), among)
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(some)
+    def window(w: Column, i: Column) -> list[Column]:
+        return [F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)]
 
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(_let(windows(words), count))
+    # different hashes tell that no window repeats; where some agree, the words themselves are compared (none has a space)
+    hashes = F.transform(starts(words), lambda i: F.xxhash64(*window(words, i)))
+    some = _let(F.sort_array(F.transform(starts(words), lambda i: F.struct(F.concat_ws(" ", *window(words, i)).alias("h"), i.alias("i")))), among)
+    different = _let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    return F.when((F.size(words) < 3) | different, F.lit(0)).otherwise(some)
 
 
 def text_statistics(df: DataFrame, text: str) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs) and base_failed of `text`.
 
-    A null text counts as empty: all zero and failed.  Columns of these names are replaced.  Windows of three words are
-    compared by a 64-bit hash of the words.
+    A null text counts as empty: all zero and failed.  Columns of these names are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
 
@@ -129,15 +131,19 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.exp(top) * terms["sum"])
 
 
+def _key(stratum: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(stratum).cast("string")), F.lit("n"))
+
+
 def certify(statistics: DataFrame, labels: DataFrame, id_col: str, stratum: str, good: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """One row for each stratum of the holdout: the certified cutoff of every rule (null: none).
 
     `statistics` has text_statistics' columns, `labels` the id and `good` (1: must not be rejected).  The holdout are
     the labelled good rows that the base rules pass; repeated labels of an id count once.  A null stratum is one of its
-    own, called "".  Only counts of grid cells are shuffled, aggregated beforehand.
+    own; columns `stratum` of the result start with "s", but that one's is "n".  Only counts of grid cells are shuffled, aggregated beforehand.
     """
     marked = labels.filter((F.col(good) == 1) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    held = statistics.filter("not base_failed").join(marked, id_col, "left_semi").withColumn("stratum", F.coalesce(F.col(stratum), F.lit("")))
+    held = statistics.filter("not base_failed").join(marked, id_col, "left_semi").withColumn("stratum", _key(stratum))
     cells = F.array(*[F.struct(F.lit(rule).alias("rule"), _above(rule).alias("above")) for rule, grid in GRID.items()])
     counted = held.select("stratum", F.explode(cells).alias("c")).groupBy("stratum", "c.rule", "c.above").count()
     grid = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("place"), F.lit(c).alias("cutoff")) for rule, g in GRID.items() for i, c in enumerate(g)])
@@ -154,14 +160,24 @@ def risk_controlled(df: DataFrame, id_col: str, text: str, stratum: str, labels:
     """`df`'s id and stratum (all columns with `keep_text`), the statistics, and `kept`: passes the base rules and every certified one.
 
     Strata without a certified cutoff keep all that the base rules keep.  Rows with a null id or stratum are judged
-    like others.  Statistics are written once and read by both the calibration and the verdict.
+    like others.  Statistics are written once and read by both the calibration and the verdict.  Of the columns carried,
+    those named like a new one are replaced.
     """
+    own, name = apart(df)
+    marked = labels.select(F.col(id_col).alias(name[id_col]), F.col(good).alias("good"))
     carried = df.columns if keep_text else [id_col, stratum]
-    clash = [c for c in carried if c in STATISTICS or c == "kept"]
-    work = materialise(text_statistics(df.select(*[F.col(c) for c in carried if c not in clash], *([] if text in carried and text not in clash else [F.col(text)])), text).select(*[c for c in carried if c not in clash], *STATISTICS))
-    cutoffs = materialise(certify(work, labels, id_col, stratum, good))
-    judged = work.withColumn("__stratum", F.coalesce(F.col(stratum), F.lit(""))).join(cutoffs.withColumnRenamed("stratum", "__stratum"), "__stratum", "left")
+    work = materialise(text_statistics(own, name[text]).select(*{name[c]: None for c in [*carried, id_col, stratum]}, *STATISTICS))
+    cutoffs = materialise(certify(work, marked, name[id_col], name[stratum], "good"))
+    judged = work.withColumn("__stratum", _key(name[stratum])).join(cutoffs.withColumnRenamed("stratum", "__stratum"), "__stratum", "left")
     broken = F.lit(False)
     for rule in GRID:
         broken = broken | F.coalesce(_share(rule) > F.col(f"max_{rule}"), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~broken).drop("__stratum", *[f"max_{r}" for r in GRID])
+    new = {c: F.col(c) for c in STATISTICS} | {"kept": ~F.col("base_failed") & ~broken}
+    return judged.select(*[F.col(name[c]).alias(c) for c in carried if c not in new], *[v.alias(c) for c, v in new.items()])
+
+
+def keep_good(df: DataFrame, id_col: str, text: str, stratum: str, labels: DataFrame, good: str = "quality") -> DataFrame:
+    """The rows of `df` that `risk_controlled` keeps, with their columns as they are."""
+    own, name = apart(df)
+    out = risk_controlled(own, name[id_col], name[text], name[stratum], labels.select(F.col(id_col).alias(name[id_col]), F.col(good).alias("__good")), "__good", keep_text=True)
+    return out.filter("kept").select(*name.values()).toDF(*df.columns)

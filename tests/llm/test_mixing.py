@@ -32,8 +32,7 @@ def corpus(spark, seed=1, n=900):
 
 def test_mix(spark):
     df = corpus(spark)
-    rows = mixing.sized(df, "doc_id", "text")
-    got = mixing.apply_mix(rows, mixing.plan_mix(rows)).collect()
+    got = mixing.mix(df, "doc_id", "text", "source").collect()
     assert len(got) == df.count()
     sizes, taken, largest = {}, {}, {}
     for r in got:
@@ -46,8 +45,7 @@ def test_mix(spark):
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]], rel=1e-9)
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 2 * largest[s]
-    again = mixing.sized(df.repartition(7), "doc_id", "text")
-    again = mixing.apply_mix(again, mixing.plan_mix(again)).collect()
+    again = mixing.mix(df.repartition(7), "doc_id", "text", "source").collect()
     key = lambda rs: sorted((r["doc_id"], r["taken"], r["target"]) for r in rs)
     assert key(got) == key(again)
 
@@ -65,6 +63,5 @@ def test_rates_are_tilted_and_meet_the_constraints(spark):
 def test_edge_tables(spark):
     for rows in ([], [(1, None, None, 1.0)], [(1, "a b", "x", 1.0)], [(1, "", "x", 1.0), (2, "a", "x", 1.0)]):
         df = spark.createDataFrame(rows, "doc_id long, text string, source string, rate double")
-        sized = mixing.sized(df, "doc_id", "text")
-        got = mixing.apply_mix(sized, mixing.plan_mix(sized)).collect()
+        got = mixing.mix(df, "doc_id", "text", "source").collect()
         assert len(got) == len(rows) and all(r["taken"] == r["size"] for r in got)
