@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import materialise, utf8
 from .textvec import LETTERS, Words, chunks
 
 BINS = 1 << 16
 SMOOTHING = 0.1
-#: EM steps before the first choice and after each removal.
-FIRST_STEPS, MORE_STEPS = 8, 4
+#: A document's EM steps end when no proportion moves by more than this.
+TOLERANCE = 0.002
+#: Most languages a model has: 65,536 numbers each reach the driver and every executor.
+MOST_LANGUAGES = 256
 
 
 def _bins(data: np.ndarray) -> np.ndarray:
@@ -96,14 +98,21 @@ class Model:
         n = words[docs]
         share = np.full((len(docs), n_langs), 1 / n_langs)
 
-        def em(like, first, n, share, steps):
-            for _ in range(steps):
-                r = like * np.repeat(share, n, axis=0)
+        def em(like, first, n, share):
+            share = share.copy()
+            at, own, rows, rows_first = np.arange(len(n)), n, like, first  # of the documents that still move
+            while len(at):
+                r = rows * np.repeat(share[at], own, axis=0)
                 r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-                share = np.add.reduceat(r, first, axis=0) / n[:, None]
+                new = np.add.reduceat(r, rows_first, axis=0) / own[:, None]
+                moving = np.abs(new - share[at]).max(1) > TOLERANCE
+                share[at] = new
+                if not moving.all():
+                    rows, at, own = rows[np.repeat(moving, own)], at[moving], own[moving]
+                    rows_first = np.cumsum(own) - own
             return share, np.add.reduceat(np.log(np.maximum((like * np.repeat(share, n, axis=0)).sum(1), 1e-300)), first)
 
-        share, fit = em(like, first, n, share, FIRST_STEPS)
+        share, fit = em(like, first, n, share)
         going = np.arange(len(docs))
         for _ in range(n_langs - 1):
             # each document that is still going tries to do without its smallest language
@@ -115,7 +124,7 @@ class Model:
             tried[np.arange(len(going)), least] = 0
             tried /= np.maximum(tried.sum(1, keepdims=True), 1e-300)
             rows = np.repeat(first[going] - (np.cumsum(n[going]) - n[going]), n[going]) + np.arange(n[going].sum())
-            tried, new_fit = em(like[rows], np.cumsum(n[going]) - n[going], n[going], tried, MORE_STEPS)
+            tried, new_fit = em(like[rows], np.cumsum(n[going]) - n[going], n[going], tried)
             better = new_fit + 0.5 * np.log(n[going]) >= fit[going]
             going = going[better]
             share[going], fit[going] = tried[better], new_fit[better]
@@ -124,7 +133,11 @@ class Model:
 
 
 def train(df: DataFrame, text: str, language: str) -> Model:
-    return Model(trigram_counts(df, text, language))
+    """Counts over all rows with a text and a language; ValueError if there are more than MOST_LANGUAGES of these."""
+    counts = materialise(trigram_counts(df, text, language))
+    if counts.select("lang").distinct().count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return Model(counts)
 
 
 def identify(df: DataFrame, text: str, model: Model) -> DataFrame:

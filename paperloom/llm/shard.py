@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import materialise, release, shuffle_partitions
 
-ROUNDS = 8
+#: Propagation ends with the first round that adds less than this share of all neighbours in the same shard.
+LEAST_GAIN = 0.001
+#: A link with over one in so many memberships is joined by broadcast: there are fewer such links than this.
+HOT = 256
 
 
 def numbered(df: DataFrame, by: list[Column], order: list[Column], name: str, group: Column | None = None) -> DataFrame:
@@ -52,37 +55,57 @@ def _flows(want: dict[tuple[int, int], int], load: list[int], quota: list[int])
             left -= cut
 
 
-def propagate(rows: DataFrame, links: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
+def _with_link(member: DataFrame, around: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """`member` joined to `around`, one row of every link, by link; `around` has `n_link`, the link's memberships.
+
+    Rows of the few links that have a great part of all are not gathered: such links, fewer than HOT, are broadcast.
+    """
+    hot = F.broadcast(around.filter(F.col("n_link") > total // HOT))
+    rest = around.filter(F.col("n_link") <= total // HOT)
+    cold = member.join(hot.select("link"), "link", "left_anti")
+    return member.join(hot, "link", how).unionByName(cold.join(rest.hint("merge"), "link", how))
+
+
+def propagate(rows: DataFrame, links: DataFrame, shards: int) -> DataFrame:
     """(row, shard) for `rows` (row: distinct numbers 0, 1, ... without gaps); `links` has (row, link).
 
     Shard sizes differ by one row at most.  Links with one row, null ends and repeated memberships count for nothing.
-    Only counts by pair of shards reach the driver.  The starts are dealt by row number, so reruns agree.
+    Only counts by pair of shards reach the driver.  The starts are dealt by row number, so reruns agree.  Rounds go on
+    while the neighbours that are in the same shard grow by a thousandth; the best round is kept.
     """
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    member = links.filter("row is not null and link is not null").distinct()
-    shared = member.groupBy("link").count().filter("count > 1").select("link")
-    member = materialise(member.join(shared, "link", "left_semi"))
+    member = materialise(links.filter("row is not null and link is not null").distinct())
+    memberships = member.count()
+    counted = materialise(member.groupBy("link").agg(F.count("*").alias("n_link")).filter("n_link > 1"))
+    member = materialise(_with_link(member, counted, memberships, "left_semi"))
     now = materialise(member.select("row").distinct().withColumn("shard", (F.col("row") % shards).cast("int")))
     cells = 4 * shuffle_partitions(rows.sparkSession)
-    for _ in range(rounds):
+    best = last = None
+    while True:
         held = {r["shard"]: r["count"] for r in now.groupBy("shard").count().collect()}
         free = F.array(*[F.lit(int(held.get(s, 0) < quota[s])) for s in range(shards)])
         counts = [F.count_if(F.col("shard") == s).alias(f"n{s}") for s in range(shards)]
         placed = member.join(now, "row")
-        around = placed.groupBy("link").agg(*counts)
-        votes = placed.join(around, "link").groupBy("row", "shard").agg(
+        around = materialise(placed.groupBy("link").agg(F.count("*").alias("n_link"), *counts))
+        votes = _with_link(placed, around, memberships).groupBy("row", "shard").agg(
             F.array(*[F.sum(f"n{s}") for s in range(shards)]).alias("votes"), F.min("link").alias("link"))
         # shards without room take nobody; of equals, one with room, then the first from a shard that depends on the
         # link, the same for all its rows
         turn = F.pmod(F.xxhash64("link"), F.lit(shards)).cast("int")
         all_ = F.transform("votes", lambda v, s: F.struct(v.alias("n"), F.get(free, s).alias("free"), (-F.pmod(s - turn, F.lit(shards))).alias("o"), s.cast("int").alias("to")))
-        best = F.array_max(F.filter(all_, lambda x: (x["free"] == 1) | (x["to"] == F.col("shard"))))
-        wishes = materialise(votes.select("row", "shard", "link", best["to"].alias("to"), (best["n"] - F.get("votes", F.col("shard"))).alias("gain"))
+        top = F.array_max(F.filter(all_, lambda x: (x["free"] == 1) | (x["to"] == F.col("shard"))))
+        wishes = materialise(votes.select("row", "shard", "link", top["to"].alias("to"), F.get("votes", F.col("shard")).alias("agree"))
                              .withColumn("cell", F.when(F.col("to") != F.col("shard"), F.pmod(F.xxhash64("link"), F.lit(cells)))))
-        load = {r["shard"]: r["n"] for r in wishes.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        by_shard = {r["shard"]: r for r in wishes.groupBy("shard").agg(F.count("*").alias("n"), F.sum("agree").alias("agree")).collect()}
+        agree = sum(r["agree"] for r in by_shard.values())
+        if best is None or agree > best[0]:
+            best = (agree, now)
+        if last is not None and agree < last * (1 + LEAST_GAIN):
+            break
+        last = agree
         want = wishes.filter("cell is not null").groupBy("shard", "to").agg(F.count("*").alias("n")).collect()
-        flow = _flows({(r["shard"], r["to"]): r["n"] for r in want}, [load.get(s, 0) for s in range(shards)], quota)
+        flow = _flows({(r["shard"], r["to"]): r["n"] for r in want}, [by_shard[s]["n"] if s in by_shard else 0 for s in range(shards)], quota)
         if not any(flow.values()):
             break
         # links go whole, in the order of their cells, as far as the flow goes
@@ -96,6 +119,8 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int, rounds: int = ROUN
         part = numbered(part, [F.col("row")], [F.col("row")], "turn", F.struct("shard", "to")).filter("turn < left").select("row", "to")
         moves = whole.unionByName(part)
         now = materialise(wishes.select("row", "shard").join(moves, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")))
+        release(around, wishes)
+    now = best[1]
     load = {r["shard"]: r["count"] for r in now.groupBy("shard").count().collect()}
     ends, at = [], 0
     for s in range(shards):
