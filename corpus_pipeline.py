@@ -1,14 +1,15 @@
 """A corpus pipeline of five stages, each on all that the stage before it kept.
 
-All but the last stage return the columns of documents; each result is written as Parquet and read again as the next
-stage's documents.
+All but the last stage return the columns of documents, as they are, whatever else is among them; each result is written
+as Parquet and read again as the next stage's documents.  Null and empty texts fail the base rules of the first stage,
+and in the later ones are documents without words: never toxic, copies of each other, of size 0, without tokens.  Null
+ids, languages and sources, repeated ids and empty tables are handled as the operators state.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, mixing, ordinal, rules, simhash
 from paperloom.llm.common import materialise, table
@@ -18,15 +19,14 @@ from paperloom.session import on_workers
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that a base rule or a certified cutoff rejects go."""
-    judged = rules.risk_controlled(docs, "doc_id", "text", "lang", table(spark, sf_dir, "labels"), keep_text=True)
-    return judged.filter("kept").select(*docs.columns)
+    return rules.keep_good(docs, "doc_id", "text", "lang", table(spark, sf_dir, "labels"))
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents that are more likely than not of severity 1 or more go."""
     on_workers(spark)
     model = ordinal.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
-    return ordinal.score(docs, "text", model).filter("not toxic").select(*docs.columns)
+    return ordinal.keep_civil(docs, "text", model)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +37,11 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document as often as its source's target takes it, which may be never."""
-    rows = mixing.sized(docs, "doc_id", "text")
-    plan = mixing.plan_mix(materialise(rows.select("source", "size", "draw")))
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")
-    return mixing.apply_mix(rows, plan).select(*docs.columns, copies).drop("copy")
+    return mixing.draw_mix(docs, "doc_id", "text", "source")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: token ids of every text, their number and digests."""
+    """Byte-level BPE: token ids of every text, their number and digests; columns of these names are replaced."""
     on_workers(spark)
     return bpe.encode_bpe(docs, "text", public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).drop("text")
 
