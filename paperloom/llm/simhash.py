@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +180,8 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, words: int = 3) -> Da
 #: Most rows whose shingles are counted to order shingles from rare to common, and most common ones kept.  The order
 #: decides only how many rows meet: the search is exact for any.
 COUNTED, COMMON = 10_000, 500_000
+#: Rows of each key that its other rows meet in the first round, and in each later one.
+PIVOTS = 8, 32
 
 
 def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -242,6 +244,15 @@ def _can_be_similar(similarity: float) -> Column:
     return left + 1e-9 >= (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity))
 
 
+def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id is among `wanted` (id), and some others: ids set bits of a table of at most 65,536 words, which is
+    broadcast.  It keeps most other rows, with their texts, out of a shuffle."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << 22))
+    words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits"))
+    found = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(words), "word")
+    return found.filter("shiftrightunsigned(bits, CAST(slot & 63 AS INT)) & 1 = 1").select(*rows.columns)
+
+
 def _pairs(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -255,8 +266,8 @@ def similar_links(entries: DataFrame, similarity: float, verify: Callable[[DataF
     """Edges (a, b) that connect just the rows which pairs of that similarity connect.
 
     `entries` (key, id, size, pos) are the rows' prefixes; `verify` returns those of the pairs (a, b), a < b, that have the
-    similarity.  The pairs `near` are verified first: what they link is one component.  Then every row meets one row of
-    each key, another one in each round, while that still links a good part.  Then all pairs of different components
+    similarity.  The pairs `near` are verified first: what they link is one component.  Then every row meets PIVOTS rows of
+    each key, others in each round, while that still links a good part.  Then all pairs of different components
     that share a key are compared: within a key, the rows outside its largest component with all others.  Pairs inside
     a component need no comparison, so the work grows with the pairs that share a rare shingle but no component.
     Python never holds a key's rows.
@@ -280,16 +291,16 @@ def similar_links(entries: DataFrame, similarity: float, verify: Callable[[DataF
         release(live)
         return out
 
-    if near is not None and compare(near)[1]:
-        live = settle(live, True).drop("most")
-    for number in range(1, 1 << 30):
-        pivots = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("o"), "id", "size", "pos", "c")).alias("p")).select("key", "p.*")
-        met = live.alias("x").join(pivots.alias("y").hint("merge"), F.col("x.key") == F.col("y.key")).filter(F.col("x.c") != F.col("y.c"))
+    live = settle(live, near is not None and compare(near)[1] > 0)
+    for number in count(1):
+        order, most = F.xxhash64("id", F.lit(number)), PIVOTS[number > 1]
+        pivots = live.groupBy("key", F.pmod(order, F.lit(most))).agg(F.min(F.struct(order.alias("o"), "id", "size", "pos", "c")).alias("p")).select("key", "p.*")
+        rest = live if number == 1 else live.filter("c <> most")
+        met = rest.alias("x").join(pivots.alias("y").hint("merge"), F.col("x.key") == F.col("y.key")).filter(F.col("x.c") != F.col("y.c"))
         compared, linked = compare(met.filter(_can_be_similar(similarity)).select(*_pairs("x.id", "y.id")).distinct())
-        live = settle(live, linked > 0)
-        if 10 * linked <= compared:
+        live = settle(live.drop("most"), linked > 0)
+        if number > 1 and 10 * linked <= compared:
             break
-        live = live.drop("most")
     few = live.filter("c <> most")
     met = few.alias("x").join(live.alias("y").hint("merge"), F.col("x.key") == F.col("y.key"))
     met = met.filter((F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))) & _can_be_similar(similarity))
@@ -338,9 +349,9 @@ def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, simil
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(ok)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         # joins with texts shuffle at every size: how many pairs there are is not known beforehand
-        texts = materialise(rows.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first(utf8("t")).alias("t")))
+        texts = materialise(_perhaps(rows, wanted).join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first(utf8("t")).alias("t")))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")).hint("merge"), "b")
         return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
