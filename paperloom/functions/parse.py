@@ -26,10 +26,33 @@ def one_of(value: Column, allowed: list[str], neutral: str) -> Column:
 
 
 def tags(value: Column, allowed: list[str], most: int = 3, rest: str = "other") -> Column:
-    """Known tags without repeats, `rest` only if alone, and no more than `most`."""
-    known = F.array_distinct(F.filter(F.transform(value, lambda t: F.lower(F.trim(t))), lambda t: t.isin(*allowed, rest)))
-    real = F.array_remove(known, rest)
-    return F.slice(F.when(F.size(real) > 0, real).otherwise(known), 1, most)
+    """Known tags without repeats and no more than `most`; `rest` if none is left."""
+    known = F.array_distinct(F.filter(F.transform(value, lambda t: F.lower(F.trim(t))), lambda t: t.isin(*allowed) & (t != rest)))
+    return F.when(F.coalesce(F.size(known), F.lit(0)) > 0, F.slice(known, 1, most)).otherwise(F.array(F.lit(rest)))
+
+
+def graded(reply: Column, names: list[str], categories: dict[str, tuple[list[str], str]], allowed: list[str]) -> Column:
+    """A reply's array of graded items: i, the levels `names` (struct of level and why), `categories` and tags.
+
+    A level is an object with level and why; one that is missing or unreadable takes the first level of the entry.
+    Categories outside their list get their neutral value.  Entries without a number are left out.
+    """
+    fields = ", ".join(["i: int", *(f"{n}: struct<level: string, why: string>" for n in names), *(f"{c}: string" for c in categories), "tags: array<string>"])
+    rows = F.from_json(json_array(reply), f"array<struct<{fields}>>")
+
+    def item(x: Column) -> Column:
+        first = level(x[names[0]]["level"])
+        axes = [F.struct(F.when(x[n]["level"].isNull(), first).otherwise(level(x[n]["level"])).alias("level"), F.coalesce(x[n]["why"], F.lit("")).alias("why")).alias(n) for n in names]
+        kinds = [one_of(F.lower(F.trim(x[c])), values, neutral).alias(c) for c, (values, neutral) in categories.items()]
+        return F.struct(x["i"].alias("i"), *axes, *kinds, tags(x["tags"], allowed).alias("tags"))
+
+    return F.transform(F.filter(rows, lambda x: x["i"].isNotNull()), item)
+
+
+def findings(reply: Column) -> Column:
+    """The findings of a reply's array: entries with a text `f`, with their paper number `p`."""
+    rows = F.from_json(json_array(reply), "array<struct<p: int, f: string>>")
+    return F.coalesce(F.filter(rows, lambda x: F.coalesce(F.trim(x["f"]), F.lit("")) != ""), F.array().cast("array<struct<p: int, f: string>>"))
 
 
 def json_array(reply: Column) -> Column:

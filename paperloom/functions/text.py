@@ -9,7 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a question's terms leave out.
-STOPWORDS = ("the", "and", "for", "are", "with", "that", "this", "what", "which", "how", "does", "from", "into", "about", "have", "has", "was", "were", "can", "any", "who", "why", "when", "where", "paper", "papers")
+STOPWORDS = tuple((
+    "the a an of and or to in on for with is are be as by at from that this what which how does do did why "
+    "when we our their its it also than then these those between across over under more most less least there here into out "
+    "about after before during any some all can could would should may might will shall must have has had been being").split())
 # Named entities that feeds use.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 

@@ -44,16 +44,31 @@ def correct_top(rows: DataFrame, key: str, value: str, id_col: str, published: D
     return rows.join(higher, id_col, "left").withColumn(value, F.greatest(value, "__new")).drop("__new")
 
 
+#: Most titles without an inner word, which are compared with every text.
+SHORT_TITLES = 10_000
+
+
 def contains_match(items: DataFrame, text: str, titles: DataFrame, title: str, title_id: str, item_id: str) -> DataFrame:
     """(item, title) pairs where the text contains the title, for a bounded list of titles (a curated set).
 
-    The first word of each title must be in the text: that makes it an equality join, verified on the whole title.
+    Only the ends of a title can be parts of longer words in a text: its longest inner word is a whole word there, which
+    makes it an equality join of ids; texts are fetched for the pairs and verified on the whole title.  Titles without an
+    inner word are broadcast, and ValueError says if there are more than SHORT_TITLES.
     """
-    first = F.get(F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(0))
-    keyed = titles.withColumn("__w", first).filter("__w is not null")
-    words = items.withColumn("__w", F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))))
-    pairs = words.join(keyed.select("__w", title_id, F.col(title).alias("__title")), "__w")
-    return pairs.filter(F.contains(F.col(text), F.col("__title"))).select(item_id, title_id).distinct()
+    split = r"[^\p{L}\p{N}]+"
+    listed = titles.filter(~blank(F.col(title))).select(title_id, F.col(title).alias("__title"))
+    inner = F.regexp_replace(F.regexp_replace("__title", r"^[\p{L}\p{N}]+", ""), r"[\p{L}\p{N}]+$", "")
+    longest = F.array_max(F.transform(F.filter(F.split(inner, split), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = listed.withColumn("__w", longest)
+    short = keyed.filter("__w is null").drop("__w")
+    if short.limit(SHORT_TITLES + 1).count() > SHORT_TITLES:
+        raise ValueError(f"more than {SHORT_TITLES} titles of one or two words")
+    own = items.select(item_id, F.col(text).alias("__text")).filter("__text is not null")
+    words = own.select(item_id, F.explode(F.array_distinct(F.split("__text", split))).alias("__w"))
+    pairs = words.join(keyed.filter("__w is not null"), "__w").select(item_id, title_id, "__title").distinct()
+    found = pairs.join(own, item_id).filter(F.contains("__text", F.col("__title"))).select(item_id, title_id)
+    few = own.join(F.broadcast(short), F.contains("__text", F.col("__title"))).select(item_id, title_id)
+    return found.unionByName(few).distinct()
 
 
 def keep_last_lookup(items: DataFrame, lookup: DataFrame, key: str, order: list[Column], columns: list[str]) -> DataFrame:

@@ -46,22 +46,35 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
+# Kinds of records that are raised, and that are lowered.
+ARTICLES = ("journal-article", "proceedings-article")
+BOOKISH = ("reference-entry", "book", "book-chapter", "book-part", "book-section", "monograph", "dataset", "component")
+
+
+def _plain(c):
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", ""))
+
+
 def best_match(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """For each wanted title (key, title, author, year) the best of its candidates (key, title, authors, year, kind, pos).
+    """For each wanted title (key, title, author: a family name, year) the best of its candidates (key, title, authors: an
+    array of family names, year, kind, pos).
 
-    Score: similarity, and bonuses for the author and an article, and penalties for other kinds and for years far off.
-    Candidates are those a search gave for the key, so no title meets titles of other keys.
+    Score: similarity of the plain titles, and bonuses for the author and an article, and penalties for book-like kinds and
+    for years far off; the first of equals.  It is accepted with the author from 0.6 on, or for a near-equal title of a
+    near year.  A year of 0 or null is not known.  Candidates are those a search gave for the key, so no title meets
+    titles of other keys.
     """
-    joined = wanted.alias("w").join(found.alias("f"), key)
-    ratio = similarity(F.lower(F.col("w.title")), F.lower(F.col("f.title")))
-    has_author = F.coalesce(F.contains(F.lower(F.col("f.authors")), F.lower(F.col("w.author"))), F.lit(False))
-    off = F.abs(F.col("f.year") - F.col("w.year"))
+    joined = wanted.alias("w").join(found.alias("f"), key).filter(_plain(F.col("f.title")) != "")
+    ratio = similarity(_plain(F.col("w.title")), _plain(F.col("f.title")))
+    has_author = F.coalesce(F.exists("f.authors", lambda a: F.lower(a) == F.lower(F.col("w.author"))), F.lit(False))
+    off = F.when((F.col("f.year") > 0) & (F.col("w.year") > 0), F.abs(F.col("f.year") - F.col("w.year")))
     far = lambda n: F.coalesce(off > n, F.lit(False))
     scored = joined.withColumns({"ratio": ratio, "has_author": has_author, "off7": far(7), "off5": far(5), "off3": far(3)})
-    score = F.col("ratio") + F.when(F.col("has_author"), 0.15).otherwise(0.0) + F.when(F.col("f.kind") == "journal-article", 0.05).otherwise(-0.5) - F.when(F.col("off3"), 0.10).otherwise(0.0)
-    ok = scored.filter(F.col("has_author") | ~F.col("off7")).withColumn("score", score)
+    kind = F.when(F.col("f.kind").isin(*ARTICLES), 0.05).when(F.col("f.kind").isin(*BOOKISH), -0.5).otherwise(0.0)
+    score = F.col("ratio") + F.when(F.col("has_author"), 0.15).otherwise(0.0) + kind - F.when(F.col("off3"), 0.10).otherwise(0.0)
+    ok = scored.filter(F.col("has_author") | ~F.col("off7")).withColumn("score", F.round(score, 9)).filter("score > 0")
     best = ok.groupBy(key).agg(F.max_by(F.struct(F.col("f.title").alias("title"), F.col("f.authors").alias("authors"), F.col("f.year").alias("year"), "ratio", "has_author", "off5", "score"), F.struct("score", -F.col("f.pos"))).alias("b"))
-    accepted = (F.col("b.has_author") & (F.col("b.ratio") >= 0.60)) | ((F.col("b.ratio") >= 0.82) & ~F.col("b.off5"))
+    accepted = (F.col("b.has_author") & (F.col("b.score") >= 0.60)) | ((F.col("b.ratio") >= 0.82) & ~F.col("b.off5"))
     return best.filter(accepted).select(key, "b.title", "b.authors", "b.year", F.round("b.score", 6).alias("score"))
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import materialise
+
+from .dedup import keep_first
+
 K1, B = 1.5, 0.75
 
 
@@ -19,10 +23,16 @@ def quantise(v: Column) -> Column:
     return F.transform(F.arrays_zip(v.alias("v"), F.array_repeat(scale, F.size(v)).alias("s")), lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x["v"].cast("double") / x["s"] * 127))).cast("tinyint"))
 
 
-def recall(vectors: DataFrame, query: DataFrame, vector: str, key: str, k: int, digits: int = 4) -> DataFrame:
-    """The k rows nearest to one query vector (column `q`, one row): an exact scan and a distributed top-k."""
+def recall(vectors: DataFrame, query: DataFrame, vector: str, key: str, k: int, digits: int = 4, title: str | None = None) -> DataFrame:
+    """The k rows nearest to one query vector (column `q`, one row): an exact scan and a distributed top-k.
+
+    With `title`, rows of one title count once, the nearest of them.
+    """
     scored = vectors.crossJoin(F.broadcast(query.limit(1))).withColumn("sim", F.round(dot(F.col(vector), F.col("q")), digits))
-    return scored.drop("q").orderBy(F.desc("sim"), key).limit(k)
+    scored = scored.drop("q", *([vector] if title else []))
+    if title:
+        scored = keep_first(scored, [title], [F.desc("sim"), F.col(key)])
+    return scored.orderBy(F.desc("sim"), key).limit(k)
 
 
 def blend(similarity: Column, title_hits: Column, summary_hits: Column, quality: Column) -> Column:
@@ -45,7 +55,7 @@ def bm25(passages: DataFrame, key: str, text: str, terms: list[str], k1: float =
     """
     want = list(dict.fromkeys(terms))
     base = passages.select(key, tokens(F.col(text)).alias("__t"))
-    counted = base.select(key, F.size("__t").alias("__n"), *[F.size(F.filter("__t", _same(t))).alias(f"__f{i}") for i, t in enumerate(want)])
+    counted = materialise(base.select(key, F.size("__t").alias("__n"), *[F.size(F.filter("__t", _same(t))).alias(f"__f{i}") for i, t in enumerate(want)]))
     totals = counted.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__avg"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(want))])
     joined = counted.crossJoin(F.broadcast(totals))  # one row
     score = F.lit(0.0)

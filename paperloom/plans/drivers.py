@@ -33,8 +33,7 @@ def ask(question: str, vectors: DataFrame, query: DataFrame, items: DataFrame, f
     Passages lead, papers follow; `place` is the order in which sources are numbered.
     """
     terms = [t for t in dict.fromkeys(text_terms(question))]
-    near = retrieval.recall(vectors, query, "v", "uid", recall).drop("v").join(items, "uid")
-    once = dedup.keep_first(near, ["title"], [F.desc("sim"), F.col("uid")])
+    once = retrieval.recall(vectors.join(items, "uid"), query, "v", "uid", recall, title="title")
     wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
     score = retrieval.blend(F.col("sim"), text.keyword_hits(wanted, F.col("title")), text.keyword_hits(wanted, F.col("summary")), retrieval.quality_prior(F.col("strength"), F.col("reputation")))
     picks = once.withColumn("score", score).orderBy(F.desc("score"), "uid").limit(examined)

@@ -160,19 +160,25 @@ MODE = f"""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROU
 
 def vote_merge(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    v = e.select((F.col("event_id") / 3).cast("long").alias("item"), (F.col("event_id") % 4).cast("int").alias("relevance"), (F.col("user_id") % 4).cast("int").alias("contribution"),
+    v = e.select("event_id", F.when(F.col("event_id") % 7 < 3, "adjacent").when(F.col("event_id") % 7 < 5, "core_fit").otherwise("off_topic").alias("category"), F.when(F.col("user_id") % 3 == 0, "theory").when(F.col("user_id") % 3 == 1, "method").alias("kind"),
+                 F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("topic"), (F.col("event_id") / 3).cast("long").alias("item"), (F.col("event_id") % 4).cast("int").alias("relevance"), (F.col("user_id") % 4).cast("int").alias("contribution"),
                  F.when(F.col("event_id") % 5 != 0, F.col("user_id") % 2 == 0).alias("weak"), F.array("event_type", F.when(F.col("user_id") % 2 == 0, "other").otherwise("core")).alias("tags"))
-    out = votes.merge_votes(v, "item", ["relevance", "contribution"], ["weak"], "tags", "contribution")
-    return out.select("item", "n_votes", "relevance", "contribution", "weak", "agree", F.array_join("tags", ",").alias("tags"))
+    out = votes.merge_votes(v, "item", ["relevance", "contribution"], ["weak"], "tags", "contribution", {"category": (["off_topic", "adjacent", "core_fit"], "adjacent"), "kind": ([], "none"), "topic": ([], None)}, "event_id")
+    return out.select("item", "n_votes", "relevance", "contribution", "weak", "agree", "provisional", "category", "kind", "topic", F.array_join("tags", ",").alias("tags"))
 
 
-VOTES = """WITH v AS (SELECT event_id // 3 AS item, (event_id % 4)::INT AS relevance, (user_id % 4)::INT AS contribution, CASE WHEN event_id % 5 <> 0 THEN user_id % 2 = 0 END AS weak, [event_type, CASE WHEN user_id % 2 = 0 THEN 'other' ELSE 'core' END] AS tags FROM events),
+VOTES = """WITH v AS (SELECT event_id, CASE WHEN event_id % 7 < 3 THEN 'adjacent' WHEN event_id % 7 < 5 THEN 'core_fit' ELSE 'off_topic' END AS category, CASE user_id % 3 WHEN 0 THEN 'theory' WHEN 1 THEN 'method' END AS kind, 't' || (user_id % 5) AS topic, event_id // 3 AS item, (event_id % 4)::INT AS relevance, (user_id % 4)::INT AS contribution, CASE WHEN event_id % 5 <> 0 THEN user_id % 2 = 0 END AS weak, [event_type, CASE WHEN user_id % 2 = 0 THEN 'other' ELSE 'core' END] AS tags FROM events),
     b AS (SELECT item, count(*) AS n_votes, quantile_disc(relevance, 0.5) AS relevance, quantile_disc(contribution, 0.5) AS contribution,
           CASE WHEN 2 * count(*) FILTER (WHERE weak) > count(*) THEN true WHEN count(*) FILTER (WHERE weak) = 0 AND count(*) FILTER (WHERE NOT weak) > 0 THEN false END AS weak, max(contribution) - min(contribution) <= 1 OR count(*) = 1 AS agree FROM v GROUP BY 1),
     t AS (SELECT item, tag, count(*) AS c FROM (SELECT item, unnest(list_distinct(tags)) AS tag FROM v) GROUP BY 1, 2),
     k AS (SELECT t.*, count(*) FILTER (WHERE tag <> 'other') OVER (PARTITION BY t.item) AS real FROM t JOIN b ON t.item = b.item WHERE 2 * c >= n_votes),
-    r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY c DESC, tag) AS n FROM k WHERE tag <> 'other' OR real = 0)
-    SELECT b.*, coalesce(s.tags, '') AS tags FROM b LEFT JOIN (SELECT item, string_agg(tag, ',' ORDER BY n) AS tags FROM r WHERE n <= 3 GROUP BY 1) s ON b.item = s.item"""
+    r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY c DESC, tag) AS n FROM k WHERE tag <> 'other'),
+    l AS (SELECT item, event_id, 'category' AS axis, category AS v FROM v UNION ALL SELECT item, event_id, 'kind', kind FROM v WHERE kind IS NOT NULL UNION ALL SELECT item, event_id, 'topic', topic FROM v),
+    n AS (SELECT item, axis, v, count(*) AS c FROM l GROUP BY ALL), w AS (SELECT *, count(*) OVER (PARTITION BY item, axis) AS winners FROM (SELECT *, max(c) OVER (PARTITION BY item, axis) AS m FROM n) WHERE c = m),
+    p AS (SELECT item, axis, max(winners) AS winners, min(v) AS only_one, min(CASE v WHEN 'off_topic' THEN 1 WHEN 'adjacent' THEN 2 ELSE 3 END) AS place FROM w GROUP BY ALL), f AS (SELECT item, arg_min(topic, event_id) AS first_topic FROM v GROUP BY 1),
+    g AS (SELECT f.item, max(CASE WHEN axis = 'category' THEN CASE WHEN winners = 1 THEN only_one ELSE ['off_topic', 'adjacent', 'core_fit'][place] END END) AS category,
+          coalesce(max(CASE WHEN axis = 'kind' THEN CASE WHEN winners = 1 THEN only_one ELSE 'none' END END), 'none') AS kind, max(CASE WHEN axis = 'topic' THEN CASE WHEN winners = 1 THEN only_one ELSE first_topic END END) AS topic FROM f JOIN p ON f.item = p.item GROUP BY 1)
+    SELECT b.*, true AS provisional, g.category, g.kind, g.topic, coalesce(s.tags, 'other') AS tags FROM b JOIN g ON b.item = g.item LEFT JOIN (SELECT item, string_agg(tag, ',' ORDER BY n) AS tags FROM r WHERE n <= 3 GROUP BY 1) s ON b.item = s.item"""
 
 
 def failover(spark, sf_dir):

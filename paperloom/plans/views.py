@@ -155,15 +155,28 @@ def split_passages(spark, sf_dir):
 
 
 def canon_match(spark, sf_dir):
+    """Four candidates for each part: an article of another author, a book and a chapter of the author, and a short name."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_size")
-    wanted = p.select("k", F.col("p_name").alias("title"), F.lit("lee").alias("author"), (2000 + F.col("p_size") % 20).alias("year"))
-    found = p.select("k", F.concat("p_name", F.lit(" revised")).alias("title"), F.when(F.col("k") % 2 == 0, "Ann Lee").otherwise("Bo Roe").alias("authors"), F.lit(2005).alias("year"), F.lit("journal-article").alias("kind"), F.lit(0).alias("pos"))
-    return passages.best_match(wanted, found, "k")
+    wanted = p.select("k", F.col("p_name").alias("title"), F.lit("Lee").alias("author"), (2000 + F.col("p_size") % 20).alias("year"))
+    kinds = [("journal-article", " revised", "Roe", 2005), ("book", "", "lee", 2004), ("proceedings-article", " and more of the same kind", "LEE", 1990), ("report", " revised", "Kleeman", 2012)]
+    every = [F.struct(F.lit(i).alias("pos"), F.lit(kind).alias("kind"), F.lit(tail).alias("tail"), F.array(F.lit(who)).alias("authors"), F.lit(year).alias("year")) for i, (kind, tail, who, year) in enumerate(kinds)]
+    rows = p.select("k", "p_name", F.explode(F.array(*every)).alias("f")).filter("(k + f.pos) % 3 <> 0")
+    found = rows.select("k", F.concat("p_name", "f.tail").alias("title"), "f.authors", "f.year", "f.kind", "f.pos")
+    return passages.best_match(wanted, found, "k").select("k", "title", F.array_join("authors", ",").alias("authors"), F.col("year").cast("long").alias("year"), "score")
+
+
+# A candidate's title starts with the title wanted, so the blocks that match are just that.
+CANON = """WITH c AS (SELECT * FROM (VALUES (0, 'journal-article', ' revised', 'Roe', 2005), (1, 'book', '', 'lee', 2004), (2, 'proceedings-article', ' and more of the same kind', 'LEE', 1990), (3, 'report', ' revised', 'Kleeman', 2012)) t(pos, kind, tail, who, year)),
+    j AS (SELECT p_partkey AS k, p_name || tail AS title, who AS authors, c.year::BIGINT AS year, pos, kind, lower(who) = 'lee' AS ok, abs(c.year - (2000 + p_size % 20)) AS off,
+          2.0::DOUBLE * length(p_name) / (2 * length(p_name) + length(tail)) AS ratio FROM part, c WHERE (p_partkey + pos) % 3 <> 0),
+    s AS (SELECT *, round(ratio + CASE WHEN ok THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN kind IN ('journal-article', 'proceedings-article') THEN 0.05::DOUBLE WHEN kind = 'book' THEN -0.5::DOUBLE ELSE 0 END - CASE WHEN off > 3 THEN 0.10::DOUBLE ELSE 0 END, 9) AS score FROM j WHERE ok OR off <= 7),
+    r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, pos) AS n FROM s WHERE score > 0)
+    SELECT k, title, authors, year, round(score, 6) AS score FROM r WHERE n = 1 AND (ok AND score >= 0.6 OR ratio >= 0.82 AND off <= 5)"""
 
 
 QUERIES = {
     "digest_keep": (digest_keep, DIGEST), "consensus_shortlist": (shortlist, SHORTLIST), "same_paper": (same_paper, SAME), "author_filter": (author_filter, AUTHOR_FILTER), "recent_lanes": (lanes, LANES),
     "rescore_backlog": (backlog, BACKLOG), "known_ids": (known_ids, KNOWN), "fetch_priority": (priorities, PRIORITY), "grouped_listing": (grouped, GROUPED), "tags_histogram": (tags_histogram, TAGS),
     "probe_accuracy": (probe_accuracy, PROBE), "vector_index_rows": (vector_index, VECTORS), "embedding_cache_gap": (cache_gap, CACHE), "stale_vectors": (stale_texts, STALE),
-    "passages_split": (split_passages, None), "canon_best_match": (canon_match, None), "seminal_promotion": (seminal, None),
+    "passages_split": (split_passages, None), "canon_best_match": (canon_match, CANON), "seminal_promotion": (seminal, None),
 }
