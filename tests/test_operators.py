@@ -88,7 +88,12 @@ def test_votes(spark):
     got = {r["k"]: r for r in votes.merge_votes(v, "k", ["level"], ["flag"], "tags", "contribution").collect()}
     assert (got[1]["level"], got[1]["flag"], got[1]["agree"], got[1]["tags"]) == (2, True, False, ["a"])
     assert (got[2]["level"], got[2]["flag"], got[2]["agree"], got[2]["tags"]) == (0, False, True, ["x", "y", "z"])
-    assert (got[3]["n_votes"], got[3]["flag"], got[3]["agree"], got[3]["tags"]) == (1, None, True, [])
+    assert (got[3]["n_votes"], got[3]["flag"], got[3]["agree"], got[3]["tags"]) == (1, None, True, ["other"])
+    c = spark.createDataFrame([(1, 0, "b"), (1, 1, "a"), (2, 0, "q"), (2, 1, "z"), (2, 2, "z"), (3, 1, "n"), (3, 0, "m"), (4, 0, None)], "k int, voter int, c string")
+    c = c.selectExpr("*", "1 as level", "1 as contribution", "true as flag", "array('t') as tags")
+    for neutral, want in (("none", {1: "a", 2: "z", 3: "none", 4: "none"}), (None, {1: "a", 2: "z", 3: "m", 4: None})):
+        out = votes.merge_votes(c, "k", ["level"], ["flag"], "tags", "contribution", {"c": (["a", "b"], neutral)}, "voter").collect()
+        assert {r["k"]: r["c"] for r in out} == want and all(r["provisional"] for r in out)
     m = spark.createDataFrame([(1, "b"), (1, "a"), (2, "z"), (2, "q"), (3, None)], "k int, v string")
     assert {r["k"]: r["v"] for r in votes.ordered_mode(m, ["k"], "v", ["b", "a"]).collect()} == {1: "b", 2: "q"}
 
@@ -99,7 +104,8 @@ def test_parsing(spark):
     for given, want in ((None, None), ("null", None), ("false", False), ("0", False), ("whatever", True)):
         assert one(spark, parse.flag(lit(given))) is want
     tags = lambda xs: one(spark, parse.tags(F.array(*map(F.lit, xs)), ["a", "b", "c", "d"]))
-    assert tags(["A", "a", "other"]) == ["a"] and tags(["other", "q"]) == ["other"] and tags(["a", "b", "c", "d"]) == ["a", "b", "c"]
+    assert tags(["A", "a", "other"]) == ["a"] and tags(["other", "q"]) == ["other"] and tags(["a", "b", "c", "d"]) == ["a", "b", "c"] and tags(["q"]) == ["other"]
+    assert one(spark, parse.tags(F.lit(None).cast("array<string>"), ["a"])) == ["other"]
     assert one(spark, parse.json_array(F.lit("sure: [1, [2]] bye"))) == "[1, [2]]" and one(spark, parse.json_array(F.lit("none"))) is None
 
 
@@ -171,3 +177,11 @@ def test_top_k_is_a_prefix(spark):
     order = [F.desc("s"), F.col("k")]
     small, large = ({(r["g"], r["rank"], r["k"]) for r in rank.top_per_group(df, ["g"], order, n).collect()} for n in (3, 4))
     assert small == {x for x in large if x[1] <= 3}
+
+
+def test_titles_in_texts_may_begin_and_end_inside_words(spark):
+    items = spark.createDataFrame([(1, "concat sat here"), (2, "the cat saturated a mat-like thing"), (3, None), (4, "cat, sat")], "i int, t string")
+    titles = spark.createDataFrame([("a", "cat sat"), ("b", "at saturated a mat"), ("c", "e cat sat"), ("d", "!"), ("e", None), ("f", "-like")], "k string, title string")
+    got = {(r["i"], r["k"]) for r in enrich.contains_match(items, "t", titles, "title", "k", "i").collect()}
+    texts, names = {r["i"]: r["t"] for r in items.collect()}, {r["k"]: r["title"] for r in titles.collect()}
+    assert got == {(i, k) for i, t in texts.items() for k, n in names.items() if t and n and n in t} and (1, "a") in got

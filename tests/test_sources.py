@@ -38,9 +38,9 @@ def test_passages(spark):
     rows = [(1, "s", i, " ".join([f"w{i}"] * n)) for i, n in enumerate([100, 130, 24])] + [(1, "t", 0, " ".join(["q"] * 25)), (2, "s", 0, "short")]
     got = passages.fold(spark.createDataFrame(rows, "k int, s string, o int, t string"), "k", "s", "o", "t").collect()
     assert sorted((r["k"], r["s"], r["passage"], r["words"]) for r in got) == [(1, "s", 0, 230), (1, "t", 0, 25)]
-    wanted = spark.createDataFrame([(1, "The Cross-Section of Returns", "Fama", 1992), (2, "zzz", "Q", 2000)], "k int, title string, author string, year int")
-    found = spark.createDataFrame([(1, "The cross section of expected returns", "E. Fama", 1992, "journal-article", 0), (1, "Other", "X", 1950, "book", 1), (2, "abc", "R", 2000, "journal-article", 0)], "k int, title string, authors string, year int, kind string, pos int")
-    assert [r["title"] for r in passages.best_match(wanted, found, "k").collect()] == ["The cross section of expected returns"]
+    wanted = spark.createDataFrame([(1, "The Cross-Section of Returns", "Fama", 1992), (2, "zzz", "Q", 2000), (3, "On lee", "Lee", 2020)], "k int, title string, author string, year int")
+    found = spark.createDataFrame([(1, "The cross section of expected returns", ["French", "fama"], 1992, "journal-article", 0), (1, "Other", ["X"], 1950, "book", 1), (2, "abc", ["R"], 2000, "journal-article", 0), (3, "On lee", ["Kleeman"], 2000, "report", 0), (3, "On lee things", ["LEE"], 2009, "report", 1)], "k int, title string, authors array<string>, year int, kind string, pos int")
+    assert [r["title"] for r in passages.best_match(wanted, found, "k").orderBy("k").collect()] == ["The cross section of expected returns", "On lee things"]
 
 
 def test_streams(spark, sf, tmp_path):
