@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, materialise, utf8
+from .common import apart, materialise, release, utf8
 from .textvec import LETTERS_AND_DIGITS, Words, chunks
 
 GRADES = 3
@@ -166,6 +166,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     toxic, clean = size[True], size[False]
     none = Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES, 40.0))
     if not toxic:
+        release(rows, present)
         return none
     least = max(LEAST_DOCS, LEAST_SHARE * toxic)
     first = _document_counts(rows.filter("toxic"), None).groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("feature").toArrow()
@@ -180,11 +181,13 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     good = (z >= Z) & (p >= LIFT * (outside + 0.5) / max(1, clean))
     chosen, count = candidates[good], count[:, :, good]
     if not len(chosen):
+        release(rows, present)
         return none
     # of each half of the documents: how much a feature speaks for toxic
     odds = [np.maximum(np.log((count[1, h] + 0.5) / (sizes.get((True, h), 0) + 1)) - np.log((count[0, h] + 0.5) / (sizes.get((False, h), 0) + 1)), 0) for h in (0, 1)]
     sampled = rows.filter(_below("id", {v: sample / n for v, n in size.items() if n}))
     seen = _sparse(sampled, chosen).toArrow()
+    release(rows, present)
     y, half = np.array(seen.column("toxic").to_pylist(), bool), seen.column("half").to_numpy()
     lengths = seen.column("features").combine_chunks().value_lengths().to_numpy()
     owner = np.repeat(np.arange(len(y)), lengths)

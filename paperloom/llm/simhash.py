@@ -348,10 +348,15 @@ def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, simil
                 ok = pa.array([s >= similarity for s in got])
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(ok)
 
+    spent: list[DataFrame] = []  # tables of the last call, whose result has been written
+
     def verify(pairs: DataFrame) -> DataFrame:
+        release(*spent)
+        spent.clear()
         wanted = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         # joins with texts shuffle at every size: how many pairs there are is not known beforehand
         texts = materialise(_perhaps(rows, wanted).join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first(utf8("t")).alias("t")))
+        spent.extend((wanted, texts))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")).hint("merge"), "b")
         return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
