@@ -62,7 +62,7 @@ def _rate(multiplier: Column, size: Column, mean: Column, cap: int) -> Column:
 def balance(sizes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
     """`goal` (see targets) with `multiplier`, `mean` and `full` (everything taken `cap` times) of each source.
 
-    Every fourth step halves the bracket, so the steps end.
+    Every sixteenth step halves the bracket, so the steps end.
     """
     cells = materialise(sizes.filter("size > 0").groupBy("source", "size").count())
     state = goal.join(cells.groupBy("source").agg((F.sum(F.col("size") * F.col("count")) / F.sum("count")).alias("mean")).withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
@@ -88,7 +88,7 @@ def balance(sizes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
         met = (F.col("low") == F.col("high")) | ((F.col("low") + F.col("high")) / 2).isin(F.col("low"), F.col("high"))
         off = F.when(F.col("full") | F.coalesce(met, F.lit(False)), 0.0).otherwise(F.abs(F.col("words") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0)))
         new = state.drop("off").join(sums, "s", "left").withColumns({"low": low, "high": high, "off": F.coalesce(off, F.lit(0.0))})
-        moved = F.when(F.col("off") <= TOLERANCE, x).when(inside & (F.abs(step - x) < 20) & F.lit(number % 4 != 3), step).otherwise(halved)
+        moved = F.when(F.col("off") <= TOLERANCE, x).when(inside & (F.abs(step - x) < 20) & F.lit(number % 16 != 15), step).otherwise(halved)
         state = materialise(new.withColumn("multiplier", F.coalesce(moved, x)).select(*columns))
         if state.agg(F.max("off")).first()[0] is None or state.filter(F.col("off") > TOLERANCE).isEmpty():
             break
