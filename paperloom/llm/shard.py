@@ -3,11 +3,15 @@
 Links are given as memberships (row, link): rows that share a link are neighbours, so a link with a third of all rows
 costs as many rows and no pairs.  Shards have exact quotas of rows.  All rows start dealt out evenly; then in every round
 a row counts its neighbours by shard, and may move to the one with room that has most of them.  The flow between any two shards
-is cut until no shard goes over its quota.  Rows without neighbours leave room: at the end they fill what is left.
+is cut until no shard goes over its quota.  Rows without neighbours leave room: at the end they fill what is left.  Once that
+gains no more, rows also go to full shards as far as others leave them; half of the rows may move in such a round, so
+that neighbours don't just change places.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +75,8 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int) -> DataFrame:
 
     Shard sizes differ by one row at most.  Links with one row, null ends and repeated memberships count for nothing.
     Only counts by pair of shards reach the driver.  The starts are dealt by row number, so reruns agree.  Rounds go on
-    while the neighbours that are in the same shard grow by a thousandth; the best round is kept.
+    while the neighbours that are in the same shard grow by a thousandth, those with exchanges until that failed three times
+    in a row; the best round is kept.
     """
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
@@ -82,32 +87,44 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int) -> DataFrame:
     now = materialise(member.select("row").distinct().withColumn("shard", (F.col("row") % shards).cast("int")))
     cells = 4 * shuffle_partitions(rows.sparkSession)
     best = last = None
-    while True:
+    exchange, idle = False, 0
+    for number in count():
         held = {r["shard"]: r["count"] for r in now.groupBy("shard").count().collect()}
-        free = F.array(*[F.lit(int(held.get(s, 0) < quota[s])) for s in range(shards)])
+        free = F.array(*[F.lit(int(exchange or held.get(s, 0) < quota[s])) for s in range(shards)])
         counts = [F.count_if(F.col("shard") == s).alias(f"n{s}") for s in range(shards)]
         placed = member.join(now, "row")
         around = materialise(placed.groupBy("link").agg(F.count("*").alias("n_link"), *counts))
         votes = _with_link(placed, around, memberships).groupBy("row", "shard").agg(
-            F.array(*[F.sum(f"n{s}") for s in range(shards)]).alias("votes"), F.min("link").alias("link"))
+            F.array(*[F.sum(f"n{s}") for s in range(shards)]).alias("votes"), F.count("*").alias("own"), F.min("link").alias("link"))
         # shards without room take nobody; of equals, one with room, then the first from a shard that depends on the
         # link, the same for all its rows
         turn = F.pmod(F.xxhash64("link"), F.lit(shards)).cast("int")
-        all_ = F.transform("votes", lambda v, s: F.struct(v.alias("n"), F.get(free, s).alias("free"), (-F.pmod(s - turn, F.lit(shards))).alias("o"), s.cast("int").alias("to")))
+        # a row counts itself in each of its links, so that all rows of a link wish for the same; not so in exchanges
+        seen = F.transform("votes", lambda v, s: v - F.when(s == F.col("shard"), F.col("own")).otherwise(0)) if exchange else F.col("votes")
+        all_ = F.transform(seen, lambda v, s: F.struct(v.alias("n"), F.get(free, s).alias("free"), (-F.pmod(s - turn, F.lit(shards))).alias("o"), s.cast("int").alias("to")))
         top = F.array_max(F.filter(all_, lambda x: (x["free"] == 1) | (x["to"] == F.col("shard"))))
-        wishes = materialise(votes.select("row", "shard", "link", top["to"].alias("to"), F.get("votes", F.col("shard")).alias("agree"))
-                             .withColumn("cell", F.when(F.col("to") != F.col("shard"), F.pmod(F.xxhash64("link"), F.lit(cells)))))
+        moves = F.col("to") != F.col("shard")
+        if exchange:
+            moves &= F.pmod(F.xxhash64("row", F.lit(number)), F.lit(2)) == 0
+        wishes = materialise(votes.select("row", "shard", "link", top["to"].alias("to"), (F.get("votes", F.col("shard")) - F.col("own")).alias("agree"))
+                             .withColumn("cell", F.when(moves, F.pmod(F.xxhash64("link"), F.lit(cells)))))
         by_shard = {r["shard"]: r for r in wishes.groupBy("shard").agg(F.count("*").alias("n"), F.sum("agree").alias("agree")).collect()}
         agree = sum(r["agree"] for r in by_shard.values())
         if best is None or agree > best[0]:
             best = (agree, now)
-        if last is not None and agree < last * (1 + LEAST_GAIN):
-            break
+        idle = idle + 1 if last is not None and agree < max(last * (1 + LEAST_GAIN), last + 1) else 0
         last = agree
         want = wishes.filter("cell is not null").groupBy("shard", "to").agg(F.count("*").alias("n")).collect()
         flow = _flows({(r["shard"], r["to"]): r["n"] for r in want}, [by_shard[s]["n"] if s in by_shard else 0 for s in range(shards)], quota)
-        if not any(flow.values()):
+        if not exchange and (idle or not any(flow.values())):
+            exchange, idle, now, last = True, 0, best[1], None
+            release(around, wishes)
+            continue
+        if idle == 3 or not by_shard:
             break
+        if not any(flow.values()):
+            release(around, wishes)
+            continue
         # links go whole, in the order of their cells, as far as the flow goes
         sizes = wishes.filter("cell is not null").groupBy("shard", "to", "cell").agg(F.count("*").alias("n"))
         before = F.sum("n").over(Window.partitionBy("shard", "to").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
