@@ -69,11 +69,29 @@ def test_few_labels_certify_nothing(spark):
     assert none.count() == 0
 
 
-def test_sql_agrees(spark):
-    sf = "/root/testdata/sf0.01"
+def by_sql(tables):
+    """Columns and sorted rows of the query's SQL over tables given as names and files."""
     con = duckdb.connect()
-    for f in os.listdir(sf):
-        con.sql(f"create view {f[:-8]} as select * from '{sf}/{f}'")
+    for name, files in tables.items():
+        con.sql(f"create view {name} as select * from '{files}'")
     want = con.sql(queries.oracle_sql()["op8_rules"])
-    columns = want.columns
-    assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in columns) for r in queries.quality_rules(spark, sf).collect())
+    return want.columns, sorted(want.fetchall())
+
+
+def test_sql_agrees(spark):
+    sf = "/root/testdata/sf0.01"
+    columns, want = by_sql({f[:-8]: f"{sf}/{f}" for f in os.listdir(sf)})
+    assert want == sorted(tuple(r[c] for c in columns) for r in queries.quality_rules(spark, sf).collect())
+
+
+def test_sql_agrees_where_cutoffs_are_certified(spark, tmp_path):
+    """Two strata with more good labels than a cutoff needs, one with too few; some labels are missing."""
+    df = labelled(spark).withColumn("lang", F.when(F.col("doc_id") % 50 == 3, "fr").otherwise(F.col("lang")))
+    df.select("doc_id", "text", "lang").write.parquet(f"{tmp_path}/documents.parquet")
+    df.filter("doc_id % 13 <> 5").select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    columns, want = by_sql({t: f"{tmp_path}/{t}.parquet/*.parquet" for t in ("documents", "labels")})
+    got = queries.quality_rules(spark, str(tmp_path)).collect()
+    assert want == sorted(tuple(r[c] for c in columns) for r in got)
+    lang = {r["doc_id"]: r["lang"] for r in df.select("doc_id", "lang").collect()}
+    rejected = [lang[r["doc_id"]] for r in got if not r["kept"] and not r["base_failed"]]
+    assert {"en", None} <= set(rejected) and "fr" not in rejected
