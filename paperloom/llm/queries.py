@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, langid, mil, mixing, ordinal, rules, shard, simhash
+from . import bpe, chat, flac, langid, mil, mixing, ordinal, packing, rules, shard, simhash
 from .common import crc_of_id, table, utf8
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +78,13 @@ def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_bpe(docs, "text", public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False).drop("text")
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path(WORDS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": media, "op2_simhash": near_duplicates, "op3_shards": sharding, "op4_chat": chat_format, "op5_mix": mixture,
-    "op6_langid": languages, "op7_quality": quality, "op8_rules": quality_rules, "op9_toxicity": toxicity, "op10_bpe": byte_pairs,
+    "op6_langid": languages, "op7_quality": quality, "op8_rules": quality_rules, "op9_toxicity": toxicity, "op10_bpe": byte_pairs, "op11_pack": packed,
 }
 
 
