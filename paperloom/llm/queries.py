@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, langid, mil, mixing, ordinal, packing, rules, shard, simhash
+from . import bpe, chat, flac, langid, lloyd, mil, mining, mixing, ordinal, packing, rules, shard, simhash
 from .common import crc_of_id, table, utf8
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -82,9 +82,20 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path(WORDS))
 
 
+def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the ids that 7 divides move on by one."""
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", noisy.alias("label"))
+    return mining.hard_negatives(vectors, "vec_id", "embedding", "label", F.col("vec_id") % 100 == 0)
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.coded(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": media, "op2_simhash": near_duplicates, "op3_shards": sharding, "op4_chat": chat_format, "op5_mix": mixture,
-    "op6_langid": languages, "op7_quality": quality, "op8_rules": quality_rules, "op9_toxicity": toxicity, "op10_bpe": byte_pairs, "op11_pack": packed,
+    "op6_langid": languages, "op7_quality": quality, "op8_rules": quality_rules, "op9_toxicity": toxicity, "op10_bpe": byte_pairs, "op11_pack": packed, "op12_negatives": negatives, "op13_codes": vector_codes,
 }
 
 
@@ -118,5 +129,45 @@ def _rules_sql() -> str:
     FROM stats s LEFT JOIN broken b ON s.doc_id = b.doc_id"""
 
 
+def _floored(scale: int) -> str:
+    """Rows of embeddings with finite components only, each times `scale` and rounded down."""
+    return f"""SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _negatives_sql() -> str:
+    """All pairs of anchors and rows, ranked by windows."""
+    return f"""
+    WITH base AS ({_floored(256)}),
+    kept AS (SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM base WHERE label IS NOT NULL AND vec_id IS NOT NULL),
+    scored AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other_id,
+               list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+               FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    positive AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+                 QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+           other_id AS negative_id, positive_score, score AS negative_score
+    FROM positive JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10"""
+
+
+def _codes_sql() -> str:
+    """Six rounds, each a step of assigning and a step of averaging; codebooks are rows (round, part, entry)."""
+    steps = [f"""WITH kept AS ({_floored(4096)}),
+    numbered AS (SELECT row_number() OVER () AS r, * FROM kept),
+    parts AS (SELECT r, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS x FROM numbered, range(8) AS t(p)),
+    book0 AS (SELECT p, e, x AS c FROM parts JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM numbered) USING (r) WHERE e < 16)"""]
+    near = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT"
+    for k in range(7):
+        steps.append(f"near{k} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min_by(e, d * 16 + e) AS e, min(d) AS d FROM (SELECT r, p, x, e, {near} AS d FROM parts JOIN book{k} USING (p)) GROUP BY r, p)")
+        if k < 6:
+            means = f"SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(x[i])::HUGEINT / count(*))::BIGINT AS m FROM near{k}, range(1, 9) AS t(i) WHERE i <= len(x) GROUP BY p, e, i) GROUP BY p, e"
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.c, o.c) AS c FROM book{k} o LEFT JOIN ({means}) n USING (p, e))")
+    return ", ".join(steps) + """,
+    codes AS (SELECT r, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near6 GROUP BY r)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book6) AS codebooks_sha256 FROM codes JOIN numbered USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_rules": _rules_sql()}
+    return {"op8_rules": _rules_sql(), "op12_negatives": _negatives_sql(), "op13_codes": _codes_sql()}
