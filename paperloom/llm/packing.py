@@ -8,11 +8,13 @@ at most a sixteenth of the sequences open, so the last task's input has a fixed
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,14 @@ from .common import materialise
 #: Sequences that a task holds open, and how many a task of the later steps is given for each that it may hold open.
 OPEN, SHRINK = 512, 16
 #: Words that a worker remembers, if not longer than LONGEST; results do not depend on them.
-WORDS, LONGEST = 300_000, 64
-#: ASCII characters that are neither letters, numbers nor white space.
-MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+WORDS, LONGEST = 800_000, 64
+#: How tokens that end a word are written, and ASCII characters that are neither letters, numbers nor white space.
+WORD_END, MARKS = "</w>", "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+MARK = frozenset(MARKS)
+
+#: Matches texts whose characters are letters and marks that normalising leaves as they are and whose lower case is one
+#: character, which doesn't depend on its neighbours.
+PRECOMPOSED = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
 
 
 class Packer:
@@ -78,7 +85,7 @@ class WordEncoder:
     """Token ids, as little-endian unsigned 32-bit numbers, by a vocabulary file of the tokenizers library.
 
     The vocabulary must encode the words between spaces and line feeds apart, and a word's closing ASCII marks apart from
-    the Latin letter or number before them, without regard to the case of ASCII letters, as those with word ends do.  So each
+    the Latin letter or number before them, without regard to the case of Latin letters, as those with word ends do.  So each
     word is encoded once while it is remembered.
     """
 
@@ -88,42 +95,66 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
-
-    def _look_up(self, missing: set[str]) -> dict[str, bytes]:
-        """The ids of words that are not remembered; cores without case and closing marks are remembered too."""
-        parts = {}
-        for word in missing:
+        names = self.tokenizer.get_vocab()
+        #: Whether a token ends a word.
+        self.ends = np.zeros(max(names.values(), default=-1) + 1, bool)
+        self.ends[[i for x, i in names.items() if x.endswith(WORD_END)]] = True
+
+    def _new(self, words: list[str]) -> None:
+        """Remember the ids of `words`: those of letters alone are encoded many at once and told apart by their ends."""
+        plain, odd = [], []
+        for x in words:
+            (plain if x.isalpha() and (x.isascii() or PRECOMPOSED(x)) else odd).append(x)
+        for at in range(0, len(plain), 256):
+            some = plain[at : at + 256]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                self.words.update(zip(some, [data[i:j] for i, j in zip([0, *ends], ends)]))
+            else:
+                odd += some
+        for at in range(0, len(odd), 4096):
+            some = odd[at : at + 4096]
+            self.words.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+
+    def _learn(self, missing: set[str]) -> None:
+        """Remember the ids of `missing` words; those with closing marks by way of the word before the marks."""
+        known = self.words
+        marked = [x for x in missing if x[-1] in MARK]
+        missing.difference_update(marked)
+        parts = []
+        for word in marked:
             core = word.rstrip(MARKS)
             # the last character must still be one letter or number when it is normalised and lower-cased
-            if not core or not core[-1].isalnum() or core[-1] >= "\u0250" or core[-1] == "\u0130":
-                core = word
-            parts[word] = (core.lower() if core.isascii() else core, word[len(core):])
-        ids: dict[str, bytes] = {}
-        new = list({x for both in parts.values() for x in both if x not in self.cores})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids[x] = np.array(e.ids, "<u4").tobytes()
-        got = {w: b"".join(ids[x] if x in ids else self.cores[x] for x in both) for w, both in parts.items()}
-        self._keep(self.cores, ids)
-        return got
-
-    @staticmethod
-    def _keep(known: dict[str, bytes], new: dict[str, bytes]) -> None:
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            known[""] = b""
-        if len(new) < WORDS:
-            known.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
+            if core and core[-1].isalnum() and PRECOMPOSED(core[-1]):
+                tail = word[len(core):]
+                parts.append((word, core, tail))
+                missing.add(core)
+                missing.add(tail)
+            else:
+                missing.add(word)
+        self._new([x for x in missing if x not in known])
+        known.update([(word, known[core] + known[tail]) for word, core, tail in parts])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        listed = [x.replace("\n", " ").split(" ") for x in texts]
+        listed = [(x.lower() if PRECOMPOSED(x) else x).replace("\n", " ").split(" ") for x in texts]
+        found = [list(map(self.words.get, words)) for words in listed]
+        gaps = [list(compress(count(), map(is_, ids, repeat(None)))) for ids in found]
+        missing = {words[i] for words, own in zip(listed, gaps) for i in own}
+        long = [x for x in missing if len(x) > LONGEST]
+        self._learn(missing)
         known = self.words
-        got = self._look_up({w for words in listed for w in words if w not in known})
-        for words in listed:
-            yield b"".join([known[w] if w in known else got[w] for w in words])
-        self._keep(known, got)
+        for words, ids, own in zip(listed, found, gaps):
+            for i in own:
+                ids[i] = known[words[i]]
+            yield b"".join(ids)
+        for x in long:
+            known.pop(x, None)
+        if len(known) > WORDS:  # only the last batch's words stay, or none
+            last = set().union(*listed)
+            self.words = {x: known[x] for x in last if x in known} if len(last) <= WORDS // 2 else {}
+            self.words[""] = b""
 
 
 @lru_cache(maxsize=1)
