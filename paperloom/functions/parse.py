@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import filled
 
 
-def level(value: Column, fallback: int = 0) -> Column:
+def level(value: Column, fallback: int | None = 0) -> Column:
     """A grade from 0 to 3; numbers above 3 are percentages; anything unreadable is the fallback."""
     number = F.round(value.cast("string").try_cast("double"))
     scaled = F.when(number > 3, F.round(number / 100 * 3)).otherwise(number)
@@ -31,22 +31,58 @@ def tags(value: Column, allowed: list[str], most: int = 3, rest: str = "other")
     return F.when(F.coalesce(F.size(known), F.lit(0)) > 0, F.slice(known, 1, most)).otherwise(F.array(F.lit(rest)))
 
 
-def graded(reply: Column, names: list[str], categories: dict[str, tuple[list[str], str]], allowed: list[str]) -> Column:
+def _number(value: Column) -> Column:
+    """A whole number, from a number or a text of one; null if there is none."""
+    return F.trim(value).try_cast("double").try_cast("int")
+
+
+def _axis(entry: Column, name: str, fallback: Column, provisional: bool) -> Column:
+    """struct of level and why (and provisional) from an object, or from a bare number or its text."""
+    node = F.get_json_object(entry, f"$.{name}")
+    inside = F.coalesce(F.startswith(F.ltrim(node), F.lit("{")), F.lit(False))
+    grade = F.when(inside, F.get_json_object(node, "$.level")).otherwise(node)
+    fields = [F.coalesce(level(grade, None), fallback).alias("level"), F.when(inside, F.substring(F.trim(filled(F.get_json_object(node, "$.why"))), 1, 120)).otherwise("").alias("why")]
+    if provisional:
+        told = F.when(inside, F.lower(F.get_json_object(node, "$.provisional")))
+        fields.append((~F.coalesce(told.isin("false", "0", "0.0", ""), F.lit(False))).alias("provisional"))
+    return F.struct(*fields)
+
+
+def graded(reply: Column, names: list[str], categories: dict[str, tuple[list[str], str]], allowed: list[str], *, alone: tuple[str, ...] = (), provisional: tuple[str, ...] = (),
+           flags: tuple[str, ...] = (), topics: tuple[list[str], str] | None = None, summary: bool = False) -> Column:
     """A reply's array of graded items: i, the levels `names` (struct of level and why), `categories` and tags.
 
-    A level is an object with level and why; one that is missing or unreadable takes the first level of the entry.
-    Categories outside their list get their neutral value.  Entries without a number are left out.
+    Every entry is read by itself, so one that is no object, or has no whole number i, takes no other with it; of entries
+    with one i the last counts.  A level is an object with level and why, or the bare level; one that is missing or
+    unreadable takes the first level of the entry, or 0 if it is among `alone`.  Those among `provisional` also say whether
+    they are, which is true if not told.  Categories outside their list get their neutral value; tags may be one bare
+    text.  If asked for: `flags` are three-valued, `topic` is one of `topics` or its rest, and `summary` (or else why)
+    has 280 characters at most.  A reply without a readable array gives no items.
     """
-    fields = ", ".join(["i: int", *(f"{n}: struct<level: string, why: string>" for n in names), *(f"{c}: string" for c in categories), "tags: array<string>"])
-    rows = F.from_json(json_array(reply), f"array<struct<{fields}>>")
+    none = F.array().cast("array<string>")
+    entries = F.coalesce(F.from_json(json_array(reply), "array<string>"), none)
 
     def item(x: Column) -> Column:
-        first = level(x[names[0]]["level"])
-        axes = [F.struct(F.when(x[n]["level"].isNull(), first).otherwise(level(x[n]["level"])).alias("level"), F.coalesce(x[n]["why"], F.lit("")).alias("why")).alias(n) for n in names]
-        kinds = [one_of(F.lower(F.trim(x[c])), values, neutral).alias(c) for c, (values, neutral) in categories.items()]
-        return F.struct(x["i"].alias("i"), *axes, *kinds, tags(x["tags"], allowed).alias("tags"))
-
-    return F.transform(F.filter(rows, lambda x: x["i"].isNotNull()), item)
+        first = _axis(x, names[0], F.lit(0), names[0] in provisional)
+        axes = [first.alias(names[0])] + [_axis(x, n, F.lit(0) if n in alone else first["level"], n in provisional).alias(n) for n in names[1:]]
+        kinds = [one_of(F.lower(F.trim(F.get_json_object(x, f"$.{c}"))), values, neutral).alias(c) for c, (values, neutral) in categories.items()]
+        listed = F.get_json_object(x, "$.tags")
+        many = F.when(F.startswith(F.ltrim(listed), F.lit("[")), F.from_json(listed, "array<string>")).when(~_empty(listed), F.array(listed))
+        rest = [flag(F.get_json_object(x, f"$.{f}")).alias(f) for f in flags]
+        if topics is not None:
+            rest.append(one_of(F.trim(F.get_json_object(x, "$.topic")), *topics).alias("topic"))
+        if summary:
+            said = F.coalesce(*[F.when(~_empty(c), c) for c in (F.get_json_object(x, "$.summary"), F.get_json_object(x, "$.why"))], F.lit(""))
+            rest.append(F.substring(F.trim(said), 1, 280).alias("summary"))
+        return F.struct(_number(F.get_json_object(x, "$.i")).alias("i"), *axes, *kinds, tags(many, allowed).alias("tags"), *rest)
+
+    rows = F.filter(F.transform(entries, item), lambda x: x["i"].isNotNull())
+    later = F.reverse(F.transform(rows, lambda x: x["i"]))
+    return F.filter(rows, lambda x, n: F.size(rows) - F.array_position(later, x["i"]) == n)
+
+
+def _empty(c: Column) -> Column:
+    return F.coalesce(c == "", F.lit(True))
 
 
 def findings(reply: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,24 +21,56 @@ def _words(c):
 def fold(paragraphs: DataFrame, key: str, section: str, order: str, text: str, full: int = FULL, least: int = LEAST) -> DataFrame:
     """(key, section, passage, text, words): paragraphs of a section joined until there are `full` words.
 
-    A passage ends with the paragraph that reaches `full`; a section's rest is kept from `least` words on.  One section
-    is folded at a time, which bounds what a task holds by the longest section.
+    A passage ends with the paragraph that reaches `full`; a section's rest is kept from `least` words on.  Null texts
+    count as absent paragraphs, paragraphs at one place stand by their text.  A section's paragraphs come to one task in
+    order, which goes through them once and holds one passage: cuts depend on what came before.
     """
-    step = lambda acc, p: F.struct(
-        F.when(acc["words"] >= full, acc["no"] + 1).otherwise(acc["no"]).alias("no"), (F.when(acc["words"] >= full, 0).otherwise(acc["words"]) + p["n"]).alias("words"),
-        F.concat(acc["out"], F.array(F.struct(F.when(acc["words"] >= full, acc["no"] + 1).otherwise(acc["no"]).alias("no"), p["t"].alias("t"), p["n"].alias("n")))).alias("out"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("words"), F.array().cast("array<struct<no: int, t: string, n: int>>").alias("out"))
-    gathered = paragraphs.groupBy(key, section).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), _words(F.col(text)).alias("n")))).alias("p"))
-    rows = gathered.select(key, section, F.explode(F.aggregate("p", start, step)["out"]).alias("x")).select(key, section, F.col("x.no").alias("passage"), "x.t", "x.n", F.monotonically_increasing_id().alias("__o"))
-    joined = rows.groupBy(key, section, "passage").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__o", "t"))), lambda x: x["t"]), " ").alias("text"), F.sum("n").alias("words"))
-    return joined.filter(F.col("words") >= least)
-
-
-def explode_passages(docs: DataFrame, key: str, passages: str) -> DataFrame:
-    """(key, place, section, text) of documents with an array of passages; texts that begin alike are kept once."""
-    rows = docs.select(key, F.posexplode(passages).alias("place", "p")).select(key, "place", F.col("p.s").alias("section"), F.col("p.t").alias("text"))
-    w = Window.partitionBy(F.substring("text", 1, 160)).orderBy(key, "place")
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    rows = paragraphs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(section).alias("section"), F.col(order).alias("o"), F.col(text).alias("t"), _words(F.col(text)).alias("n"))
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("key", "section")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, held, words, out, schema = None, 0, [], 0, [], None
+
+        def end() -> None:
+            nonlocal number, held, words
+            if held and words >= least:
+                out.append((*now, number, " ".join(held), words))
+            number, held, words = number + 1, [], 0
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
+        for b in batches:
+            schema = schema or pa.schema([pa.field("key", b.schema.field(0).type), pa.field("section", b.schema.field(1).type), pa.field("passage", pa.int32()), pa.field("text", pa.string()), pa.field("words", pa.int64())])
+            for k, s, t, n in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4))):
+                if (k, s) != now:
+                    end()
+                    now, number = (k, s), 0
+                held.append(t)
+                words += n
+                if words >= full:
+                    end()
+            yield made()
+        end()
+        if schema:
+            yield made()
+
+    sorted_ = rows.repartition("key", "section").sortWithinPartitions("key", "section", "o", "t")
+    return sorted_.mapInArrow(run, f"key {kinds[0]}, section {kinds[1]}, passage int, text string, words long").withColumnsRenamed({"key": key, "section": section})
+
+
+def explode_passages(docs: DataFrame, key: str, passages: str, within: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """(within, key, place, section, text) of picked documents with an array of passages; of texts that begin alike the first
+    is kept, in the given order of the documents and else by key.
+
+    Texts are compared among the picks given, or those that agree in `within` (a question), never with other picks.
+    """
+    rows = docs.select(*within, key, *order, F.posexplode(passages).alias("place", "p")).select(*within, key, *order, "place", F.col("p.s").alias("section"), F.col("p.t").alias("text"))
+    some = rows.filter(F.coalesce(F.col("text"), F.lit("")) != "")
+    w = Window.partitionBy(*within, F.substring("text", 1, 160)).orderBy(*order, key, "place")
+    return some.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
 @F.pandas_udf(T.DoubleType())

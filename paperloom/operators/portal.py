@@ -50,17 +50,22 @@ def topic_counts(canon: DataFrame, topic: str, alias: dict[str, str]) -> DataFra
     return canon.groupBy(named.alias("topic")).agg(F.count("*").alias("n"))
 
 
-def prior_art(known: DataFrame, canon: DataFrame, topic: str) -> DataFrame:
-    """(topic, block): a line for each known antecedent of a topic, or if it has none for each method work of its canon.
+def prior_art(known: DataFrame, canon: DataFrame) -> DataFrame:
+    """(block): one text with a line for each known antecedent, in their order, or if there are none at all for each method work
+    of the canon.
 
-    Antecedents and canon are curated lists, so a topic's block is a bounded text.
+    known: pos, title, authors, year, note, cites; canon: pos, title, kind, why.  A line has the title, then authors and
+    year in brackets, then the note or else the citations, each only if there is one.  Both are curated lists, so the block
+    is a bounded text.
     """
-    line = F.concat_ws(" ", F.lit("-"), "title", F.concat(F.lit("("), F.col("year").cast("string"), F.lit(")")))
-    def block(df: DataFrame, name: str) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct("year", "title", line.alias("l"))))
-        return df.groupBy(topic).agg(F.array_join(F.transform(rows, lambda x: x["l"]), "\n").alias(name))
-    both = block(known, "__known").join(block(canon.filter("kind = 'Method'"), "__canon"), topic, "full")
-    return both.select(topic, F.coalesce("__known", "__canon").alias("block"))
+    some = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    who = F.nullif(F.concat_ws(" ", some("authors"), some("year")), F.lit(""))
+    tail = F.coalesce(some("note"), F.when(F.col("cites") != 0, F.concat(F.format_number("cites", 0), F.lit(" citations"))))
+    line = F.concat(F.lit("- "), filled(F.col("title")), F.coalesce(F.concat(F.lit(" ("), who, F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(": "), tail), F.lit("")))
+    method = canon.filter("kind = 'Method'").select(F.lit(1).alias("b"), "pos", F.concat(F.lit("- "), filled(F.col("title")), F.lit(": "), filled(F.col("why"))).alias("l"))
+    both = known.select(F.lit(0).alias("b"), "pos", line.alias("l")).unionByName(method)
+    lines = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("b") == b, F.struct("pos", "l")))), lambda x: x["l"])
+    return both.agg(lines(0).alias("k"), lines(1).alias("c")).select(F.array_join(F.when(F.size("k") > 0, F.col("k")).otherwise(F.col("c")), "\n").alias("block"))
 
 
 def canon_items(canon: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -105,6 +110,33 @@ def classics_index(canon: DataFrame, cited: DataFrame, topic: str, most: int = 4
     return a.unionByName(b)
 
 
+def classic_line(title: Column, authors: Column, year: Column, journal: Column, full: Column, cites: Column, kind: Column, url: Column, why: Column) -> Column:
+    """A work of the classics index in Markdown: title, a line of who, when and where, a line of marks, the link and the note."""
+    some = lambda c: F.nullif(F.trim(filled(c)), F.lit(""))
+    where = F.nullif(F.concat_ws(" · ", some(F.substring(F.trim(filled(authors)), 1, 70)), some(F.substring(filled(year.cast("string")), 1, 4)), some(F.substring(F.trim(filled(journal)), 1, 40))), F.lit(""))
+    marks = F.nullif(F.concat_ws(" · ", F.when(full, "full text"), F.when(cites != 0, F.concat(F.format_number(cites, 0), F.lit(" cites"))), some(F.lower(kind))), F.lit(""))
+    part = lambda before, c, after="": F.coalesce(F.concat(F.lit(before), c, F.lit(after)), F.lit(""))
+    return F.concat(F.lit("- **"), F.trim(filled(title)), F.lit("**"), part("  \n  ", where), part("  \n  _", marks, "_"), part(" — [link](", some(url), ")"), part("  \n  ", some(why)))
+
+
+def classics_lines(works: DataFrame, line: Column, most: int = 400) -> DataFrame:
+    """(block, topic, place, line) of the classics index, with headings that count.
+
+    works: uid, title, topic (null for works that are not in the canon), year, cites, full.  Block 0 counts all works and
+    those with a full text; block 1 has the canon by topic, heading at place 0, by year; block 2 the `most` most cited.
+    """
+    rows = works.withColumn("__line", line)
+    total = rows.agg(F.count("*").alias("n"), F.count_if("full").alias("f")).select(F.lit(0).alias("block"), F.lit("").alias("topic"), F.lit(0).alias("place"), F.format_string("**%s papers** · **%s** with full text parsed", F.col("n").cast("string"), F.col("f").cast("string")).alias("line"))
+    canon = rows.filter(F.col("topic").isNotNull())
+    heads = canon.groupBy("topic").agg(F.count("*").alias("n")).select(F.lit(1).alias("block"), "topic", F.lit(0).alias("place"), F.format_string("### %s (%s)", "topic", F.col("n").cast("string")).alias("line"))
+    inside = canon.select(F.lit(1).alias("block"), "topic", F.row_number().over(Window.partitionBy("topic").orderBy(filled(F.col("year").cast("string")), "title", "uid")).alias("place"), F.col("__line").alias("line"))
+    others = rows.filter(F.col("topic").isNull())
+    best = [F.desc(F.coalesce("cites", F.lit(0))), F.col("title"), F.col("uid")]
+    top = others.orderBy(*best).limit(most).select(F.lit(2).alias("block"), F.lit("").alias("topic"), F.row_number().over(Window.orderBy(*best)).alias("place"), F.col("__line").alias("line"))  # `most` rows
+    head = others.agg(F.count("*").alias("n")).select(F.lit(2).alias("block"), F.lit("").alias("topic"), F.lit(0).alias("place"), F.format_string("## Most-cited (%s)", F.col("n").cast("string")).alias("line"))
+    return total.unionByName(heads).unionByName(inside).unionByName(head).unionByName(top)
+
+
 def pdf_status(files: DataFrame, size: str, content: str, most: int = 60_000_000) -> Column:
     """What became of a download: missing, too large, not a PDF, or ok."""
     return F.when(F.col(content).isNull(), "missing").when(F.col(size) > most, "too_large").when(F.substring(F.hex(content), 1, 8) != "25504446", "not_pdf").otherwise("ok")

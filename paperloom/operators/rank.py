@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import materialise
+
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """The first n of each group with their rank.  Spark cuts groups before the shuffle (WindowGroupLimit)."""
@@ -61,3 +63,18 @@ def digest_order(df: DataFrame, watched: str, tier: str, score: str, reputation:
     strength = F.coalesce(F.col(score), F.lit(-1)) * F.coalesce(F.col(reputation), F.lit(1.0))
     out = df.withColumns({"block": block, "strength": strength})
     return out.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("strength"), F.desc_nulls_last(date), tie)))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add `name`: row numbers from 0 in the given order, from counts of range partitions, not from one sorted task.
+
+    The ranges are written once, so that counts and rows agree even if tasks are repeated.  Rows that the order doesn't
+    tell apart are numbered either way.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("__part")).count()
+    before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    row = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("__part", part).join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, row).drop("__part", "__before", "__at")  # a row for each partition

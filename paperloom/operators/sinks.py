@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import materialise
+from .rank import numbered
 
 SHARD_ROWS = 64
 
@@ -28,21 +28,9 @@ def delete_keys(path_df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def vector_rows(items: DataFrame, vectors: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """(row, shard, key, vector): row numbers in archive order from 0, shards of 64 rows.
-
-    Numbers come from counts of range partitions, not from one sorted task; the ranges are written once, so that counts
-    and rows agree even if tasks are repeated.
-    """
-    joined = items.join(vectors, key)
-    spark = joined.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialise(joined.repartitionByRange(n, *order, F.col(key)).sortWithinPartitions(*order, F.col(key)).withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33)
-    counts = placed.groupBy(part.alias("__part")).count()
-    before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    row = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)
-    numbered = placed.withColumn("__part", part).join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("row", row)  # a row for each partition
-    return numbered.withColumn("shard", F.floor(F.col("row") / SHARD_ROWS)).drop("__part", "__before", "__at")
+    """(row, shard, key, vector): row numbers in archive order from 0, shards of 64 rows."""
+    rows = numbered(items.join(vectors, key), [*order, F.col(key)], "row")
+    return rows.withColumn("shard", F.floor(F.col("row") / SHARD_ROWS))
 
 
 def digest(items: DataFrame, block: str, place: str, line: Column) -> DataFrame:

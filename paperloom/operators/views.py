@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.text import filled, title_key
 
 from .dedup import keep_first
+from .rank import numbered
 
 
 def searched(df: DataFrame, words: str, *columns: str) -> DataFrame:
@@ -49,8 +50,7 @@ def toggled(saved: DataFrame, clicks: DataFrame, key: str) -> DataFrame:
 def batches(df: DataFrame, order: list, size: int = 40, at_most: int | None = None) -> DataFrame:
     """Add `batch` and `item` (place in it) to what a model is asked, the first batches only if there is a budget.
 
-    What is asked is bounded by the budget; without one, rows are numbered in one ordered pass.
+    Numbers come from counts of ranges of the order, so no task sees all rows.
     """
     rows = df if at_most is None else df.orderBy(*order).limit(at_most * size)
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("__n", n).withColumns({"batch": F.floor(F.col("__n") / size), "item": F.col("__n") % size}).drop("__n")
+    return numbered(rows, order, "__n").withColumns({"batch": F.floor(F.col("__n") / size), "item": F.col("__n") % size}).drop("__n")

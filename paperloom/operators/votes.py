@@ -35,7 +35,7 @@ def _mode(values: Column, order: list[str], tie: Column) -> Column:
     return F.when(F.size(winners) == 1, F.get(winners, F.lit(0))).otherwise(F.coalesce(F.get(listed, F.lit(0)), tie))
 
 
-def merge_votes(votes: DataFrame, key: str, levels: list[str], flags: list[str], tags: str, contribution: str, categories: dict[str, tuple[list[str], str | None]] | None = None, voter: str | None = None) -> DataFrame:
+def merge_votes(votes: DataFrame, key: str, levels: list[str], flags: list[str], tags: str, contribution: str, categories: dict[str, tuple[list[str], str | None]] | None = None, voter: str | None = None, vocabulary: list[str] | None = None) -> DataFrame:
     """One row for each item: lower medians of levels, majorities of flags, tags that half the voters gave, agreement.
 
     `categories` get their mode; of equals the first in the order given, else the neutral value given, else that of the
@@ -48,13 +48,17 @@ def merge_votes(votes: DataFrame, key: str, levels: list[str], flags: list[str],
     base = votes.groupBy(key).agg(
         voters.alias("n_votes"), *[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").cast("int").alias(c) for c in levels],
         *[majority_flag(F.col(c)).alias(c) for c in flags], ((voters == 1) | (F.coalesce(spread, F.lit(0)) <= 1)).alias("agree"), F.lit(True).alias("provisional"),
-        *[F.sort_array(F.collect_list(F.struct(F.col(voter), F.col(c).alias("v")))).alias(f"__{c}") for c in categories])
+        *[F.sort_array(F.collect_list(F.struct(F.lit(0) if voter is None else F.col(voter), F.col(c).alias("v")))).alias(f"__{c}") for c in categories])
     for c, (order, neutral) in categories.items():
         values = F.filter(F.transform(f"__{c}", lambda x: x["v"]), lambda v: v.isNotNull())
         base = base.withColumn(c, _mode(values, order, F.lit(neutral) if neutral is not None else F.get(values, F.lit(0)))).drop(f"__{c}")
     counted = votes.select(key, F.explode(F.array_distinct(tags)).alias("tag")).groupBy(key, "tag").count()
     kept = counted.join(base.select(key, "n_votes"), key).filter(2 * F.col("count") >= F.col("n_votes"))
-    some = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "tag"))).alias("t"))
+    place = -F.col("count")
+    if vocabulary is not None:
+        at = F.array_position(F.array(*map(F.lit, vocabulary)).cast("array<string>"), F.col("tag"))
+        kept, place = kept.filter(at > 0), at
+    some = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(place.alias("n"), "tag"))).alias("t"))
     names = F.transform("t", lambda x: x["tag"])
     real = F.array_remove(names, "other")
     return base.join(some.select(key, F.when(F.size(real) > 0, F.slice(real, 1, 3)).alias("tags")), key, "left").withColumn("tags", F.coalesce("tags", F.array(F.lit("other"))))

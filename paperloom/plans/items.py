@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import dates, ids, parse, text
-from paperloom.operators import dedup, enrich, metrics, rank, retrieval, scoring, state, votes
+from paperloom.operators import dedup, enrich, metrics, nearest, rank, retrieval, scoring, state, votes
 
 AS_OF = "2024-02-01"
 
@@ -240,8 +240,8 @@ INT8 = """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_prod
 def knn(spark, sf_dir):
     """Neighbours of every tenth vector against all vectors, and how many have its label."""
     v = read(spark, sf_dir, "embeddings")
-    near = metrics.neighbours(v.select("vec_id", "embedding"), v.filter("vec_id % 10 = 0"), "vec_id", "embedding", 5)
-    return metrics.coherence(near, v, "vec_id", "label", 5)
+    near = nearest.nearest(v, v.filter("vec_id % 10 = 0"), "vec_id", "embedding", 5)
+    return nearest.coherence(near, v, "vec_id", "label", 5)
 
 
 KNN = """WITH p AS (SELECT a.vec_id AS q, b.vec_id AS o, a.label = b.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) DESC, b.vec_id) AS r

@@ -252,10 +252,10 @@ LISTING = """WITH o AS (SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 6 <> 0
 
 def saved_items(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("event_id").alias("uid"), "event_type", "props", F.col("ts").alias("savedAt"), "user_id")
-    return portal.saved_view(e, ["event_type", "props"], "LOG", F.col("user_id") % 2 == 0).select("uid")
+    return portal.saved_view(e, ["event_type", "props"], 'SE {"K": 1', F.col("user_id") % 2 == 0).select("uid")
 
 
-SAVED = "SELECT event_id AS uid FROM events WHERE user_id % 2 = 0 AND contains(lower(event_type || ' ' || props), 'log')"
+SAVED = """SELECT event_id AS uid FROM events WHERE user_id % 2 = 0 AND contains(lower(event_type || ' ' || props), 'se {"k": 1')"""
 
 
 def chats(spark, sf_dir):
@@ -285,11 +285,71 @@ TOPIC_COUNTS = "SELECT CASE lang WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french'
 
 
 def prior_art(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), (1900 + F.col("n_nationkey")).alias("year"), F.concat(F.lit("r"), _s("n_regionkey")).alias("topic"), F.when(F.col("n_nationkey") % 2 == 0, "Method").otherwise("Data").alias("kind"))
-    return portal.prior_art(n.filter("topic in ('r0', 'r1')"), n, "topic")
-
-
-PRIOR = """SELECT 'r' || n_regionkey AS topic, string_agg('- ' || n_name || ' (' || (1900 + n_nationkey) || ')', chr(10) ORDER BY n_nationkey) AS block FROM nation WHERE n_regionkey < 2 OR n_nationkey % 2 = 0 GROUP BY 1"""
+    """The block of all antecedents; and the one of the canon, where nothing is known."""
+    k = F.col("n_nationkey")
+    n = read(spark, sf_dir, "nation").select(k.alias("pos"), F.col("n_name").alias("title"), F.when(k % 3 != 0, F.concat(F.lit("A"), _s("n_regionkey"))).alias("authors"), F.when(k % 4 != 0, 1900 + k).alias("year"),
+                                             F.when(k % 5 == 0, "a note").when(k % 5 == 1, "").alias("note"), F.when(k % 2 == 0, k * 700).alias("cites"), F.when(k % 2 == 0, "Method").otherwise("Theory").alias("kind"), F.concat(F.lit("why "), _s("n_regionkey")).alias("why"))
+    both = portal.prior_art(n, n), portal.prior_art(n.limit(0), n)
+    return both[0].withColumn("known", F.lit(True)).unionByName(both[1].withColumn("known", F.lit(False)))
+
+
+PRIOR = """WITH n AS (SELECT n_nationkey AS k, n_name, CASE WHEN n_nationkey % 3 <> 0 THEN 'A' || n_regionkey END AS a, CASE WHEN n_nationkey % 4 <> 0 THEN (1900 + n_nationkey)::VARCHAR END AS y, n_regionkey AS r FROM nation)
+    SELECT true AS known, string_agg('- ' || n_name || CASE WHEN a IS NOT NULL OR y IS NOT NULL THEN ' (' || concat_ws(' ', a, y) || ')' ELSE '' END ||
+        CASE WHEN k % 5 = 0 THEN ': a note' WHEN k % 2 = 0 THEN ': ' || format('{:,}', k * 700) || ' citations' ELSE '' END, chr(10) ORDER BY k) AS block FROM n
+    UNION ALL SELECT false, string_agg('- ' || n_name || ': why ' || r, chr(10) ORDER BY k) FROM n WHERE k % 2 = 0"""
+
+
+def classics_text(spark, sf_dir):
+    """Parts as classics: those of brands #1... are the canon, by brand."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    w = p.select(k.alias("uid"), F.col("p_name").alias("title"), F.when(F.contains("p_brand", F.lit("#1")), F.col("p_brand")).alias("topic"), F.when(k % 6 != 0, 1950 + F.col("p_size")).alias("year"), F.when(k % 5 != 0, k * 30 % 4000).alias("cites"),
+                 F.when(k % 3 == 0, F.concat(F.lit(" "), F.repeat(F.col("p_type"), 5))).alias("authors"), F.when(k % 4 == 0, F.col("p_brand")).alias("journal"), (k % 7 == 0).alias("full"), F.when(k % 2 == 0, "Method").alias("kind"), F.when(k % 9 == 0, F.concat(F.lit("u"), _s("p_partkey"))).alias("url"), F.when(k % 8 == 0, "good").alias("why"))
+    return portal.classics_lines(w, portal.classic_line(*[F.col(c) for c in ("title", "authors", "year", "journal", "full", "cites", "kind", "url", "why")]), 50)
+
+
+CLASSICS_TEXT = """WITH w AS (SELECT p_partkey AS k, p_name AS title, CASE WHEN contains(p_brand, '#1') THEN p_brand END AS topic, CASE WHEN p_partkey % 6 <> 0 THEN (1950 + p_size)::VARCHAR END AS y, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey * 30 % 4000 END AS c, * FROM part),
+    l AS (SELECT *, concat_ws(' · ', CASE WHEN k % 3 = 0 THEN substring(repeat(p_type, 5), 1, 70) END, y, CASE WHEN k % 4 = 0 THEN p_brand END) AS m,
+          concat_ws(' · ', CASE WHEN k % 7 = 0 THEN 'full text' END, CASE WHEN c <> 0 THEN format('{:,}', c) || ' cites' END, CASE WHEN k % 2 = 0 THEN 'method' END) AS t FROM w),
+    f AS (SELECT *, '- **' || trim(title) || '**' || CASE WHEN m <> '' THEN '  ' || chr(10) || '  ' || m ELSE '' END || CASE WHEN t <> '' THEN '  ' || chr(10) || '  _' || t || '_' ELSE '' END ||
+          CASE WHEN k % 9 = 0 THEN ' — [link](u' || k || ')' ELSE '' END || CASE WHEN k % 8 = 0 THEN '  ' || chr(10) || '  good' ELSE '' END AS line FROM l)
+    SELECT 0 AS block, '' AS topic, 0 AS place, '**' || count(*) || ' papers** · **' || count(*) FILTER (WHERE k % 7 = 0) || '** with full text parsed' AS line FROM f
+    UNION ALL SELECT 1, topic, 0, '### ' || topic || ' (' || count(*) || ')' FROM f WHERE topic IS NOT NULL GROUP BY topic
+    UNION ALL SELECT 1, topic, row_number() OVER (PARTITION BY topic ORDER BY coalesce(y, ''), title, k), line FROM f WHERE topic IS NOT NULL
+    UNION ALL SELECT 2, '', 0, '## Most-cited (' || count(*) || ')' FROM f WHERE topic IS NULL
+    UNION ALL SELECT * FROM (SELECT 2, '', row_number() OVER (ORDER BY coalesce(c, 0) DESC, title, k) AS p, line FROM f WHERE topic IS NULL) WHERE p <= 50"""
+
+
+#: Entries that replies hold, and what is read from them: rel, gen, con (level and provisional), why of rel, kind, tags, flag, topic, summary.
+SHAPES = [
+    ('{"i": 1, "rel": {"level": 2, "why": " w "}, "gen": 3, "con": {"level": "1", "provisional": false}, "fit": {"level": 80}, "kind": " Login ", "tags": ["B", "a", "a"], "f": true, "topic": "T1", "summary": " s "}', (2, 3, 1, False, 2, "w", "login", "b,a", True, "T1", "s")),
+    ('{"i": "4", "rel": 80, "tags": "a", "f": "no", "topic": "T9", "why": "because"}', (2, 2, 2, True, 0, "", "none", "a", False, "Other", "because")),
+    ('{"i": 7.0, "rel": "x", "gen": null, "con": {"provisional": true}, "fit": 9, "kind": "other", "tags": ["other", "zz"], "f": null, "summary": ""}', (0, 0, 0, True, 0, "", "none", "other", None, "Other", "")),
+    ('{"i": 1, "rel": {"level": -4}, "gen": {"why": "only"}, "tags": ["other", "b"], "f": "unknown", "topic": " T2 "}', (0, 0, 0, True, 0, "", "none", "b", None, "T2", "")),
+    ('{"i": 9, "rel": {"level": 1, "why": "' + "long " * 40 + '"}, "con": 250, "tags": [], "f": 1, "summary": "' + "text " * 80 + '"}', (1, 1, 3, True, 0, ("long " * 40)[:120], "none", "other", True, "Other", ("text " * 80)[:280])),
+]
+#: Entries of which nothing is read, and replies without an array that can be.
+LOST, BROKEN = ["5", '"x"', "[1]", "null", '{"rel": 2}', '{"i": "four"}'], ["", "none", "[{]", '{"i": 1}']
+
+
+def tolerant(spark, sf_dir):
+    """Every event has a reply of two entries, some of which can't be read."""
+    e, k = read(spark, sf_dir, "events").select("event_id"), F.col("event_id")
+    entry = lambda n: F.get(F.array(*[F.lit(x) for x in [s for s, _ in SHAPES] + LOST]), n % (len(SHAPES) + len(LOST)))
+    reply = F.when(k % 17 == 0, F.get(F.array(*map(F.lit, BROKEN)), k % len(BROKEN))).otherwise(F.concat(F.lit("Here: ["), entry(k), F.lit(", "), entry(F.floor(k / 11)), F.lit("] (end)")))
+    g = parse.graded(reply, ["rel", "gen", "con", "fit"], {"kind": (["login", "click"], "none")}, ["a", "b", "other"], alone=("fit",), provisional=("con",), flags=("f",), topics=(["T1", "T2"], "Other"), summary=True)
+    x = e.select("event_id", F.posexplode(g).alias("place", "x"))
+    return x.select("event_id", "place", F.col("x.i").alias("i"), *[F.col(f"x.{c}.level").alias(c) for c in ("rel", "gen", "con", "fit")], F.col("x.con.provisional").alias("provisional"), F.col("x.rel.why").alias("why"), "x.kind", F.array_join("x.tags", ",").alias("tags"), "x.f", "x.topic", "x.summary")
+
+
+def _tolerant_sql() -> str:
+    quote = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v + "'"
+    ids = [1, 4, 7, 1, 9]
+    rows = ", ".join("(" + ", ".join(map(quote, (n, i, *want))) + ")" for n, (i, (_, want)) in enumerate(zip(ids, SHAPES)))
+    m = len(SHAPES) + len(LOST)
+    return f"""WITH s(n, i, rel, gen, con, provisional, fit, why, kind, tags, f, topic, summary) AS (VALUES {rows}),
+    e AS (SELECT event_id, 0 AS place, event_id % {m} AS n FROM events WHERE event_id % 17 <> 0 UNION ALL SELECT event_id, 1, (event_id // 11) % {m} FROM events WHERE event_id % 17 <> 0),
+    j AS (SELECT * FROM e JOIN s USING (n) QUALIFY row_number() OVER (PARTITION BY event_id, i ORDER BY place DESC) = 1)
+    SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY place) - 1 AS place, i, rel, gen, con, fit, provisional, why, kind, tags, f, topic, summary FROM j"""
 
 
 def canon_items(spark, sf_dir):
@@ -361,5 +421,5 @@ QUERIES = {
     "run_state": (run_state, RUN_STATE), "abstract_gaps": (needs_abstract, NEEDS), "citation_fill": (citations, CITATIONS), "citation_update": (updated, UPDATED), "title_lookup": (titled, TITLED), "first_hits": (first_hits, FIRST_HITS),
     "canon_authors": (canon_authors, CANON_AUTHORS), "watched_feed": (watched, WATCHED), "month_listing": (month_listing, LISTING), "saved_view": (saved_items, SAVED), "kept_chats": (chats, CHATS), "abstract_shards": (shards, SHARDS),
     "canon_topic_counts": (topic_counts, TOPIC_COUNTS), "prior_art_block": (prior_art, PRIOR), "canon_items": (canon_items, CANON_ITEMS), "stored_records": (records, RECORDS), "classics_index": (classics_index, INDEX),
-    "pdf_status": (pdf_status, PDF_STATUS), "graded_replies": (replies, REPLIES), "slim_items": (slim, SLIM),
+    "pdf_status": (pdf_status, PDF_STATUS), "graded_replies": (replies, REPLIES), "tolerant_replies": (tolerant, _tolerant_sql()), "classics_text": (classics_text, CLASSICS_TEXT), "slim_items": (slim, SLIM),
 }

@@ -154,6 +154,14 @@ def split_passages(spark, sf_dir):
     return passages.fold(d.withColumn("section", F.lit("body")), "doc_id", "section", "pos", "line")
 
 
+# Cuts depend on what came before, so lines are folded one after the other.
+PASSAGES = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(0, len(a))) AS pos, unnest(a) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+    w AS MATERIALIZED (SELECT *, len(list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))::BIGINT AS n FROM l),
+    f AS (SELECT doc_id, pos, 0 AS passage, n AS words FROM w WHERE pos = 0
+          UNION ALL SELECT w.doc_id, w.pos, CASE WHEN f.words >= 220 THEN f.passage + 1 ELSE f.passage END, CASE WHEN f.words >= 220 THEN 0 ELSE f.words END + w.n FROM f JOIN w ON w.doc_id = f.doc_id AND w.pos = f.pos + 1)
+    SELECT doc_id, 'body' AS section, passage, string_agg(t, ' ' ORDER BY pos) AS text, sum(n)::BIGINT AS words FROM f JOIN w USING (doc_id, pos) GROUP BY doc_id, passage HAVING sum(n) >= 25"""
+
+
 def canon_match(spark, sf_dir):
     """Four candidates for each part: an article of another author, a book and a chapter of the author, and a short name."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_size")
@@ -178,5 +186,5 @@ QUERIES = {
     "digest_keep": (digest_keep, DIGEST), "consensus_shortlist": (shortlist, SHORTLIST), "same_paper": (same_paper, SAME), "author_filter": (author_filter, AUTHOR_FILTER), "recent_lanes": (lanes, LANES),
     "rescore_backlog": (backlog, BACKLOG), "known_ids": (known_ids, KNOWN), "fetch_priority": (priorities, PRIORITY), "grouped_listing": (grouped, GROUPED), "tags_histogram": (tags_histogram, TAGS),
     "probe_accuracy": (probe_accuracy, PROBE), "vector_index_rows": (vector_index, VECTORS), "embedding_cache_gap": (cache_gap, CACHE), "stale_vectors": (stale_texts, STALE),
-    "passages_split": (split_passages, None), "canon_best_match": (canon_match, CANON), "seminal_promotion": (seminal, None),
+    "passages_split": (split_passages, PASSAGES), "canon_best_match": (canon_match, CANON), "seminal_promotion": (seminal, None),
 }

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import dates, ids, parse, text
-from paperloom.operators import dedup, enrich, metrics, rank, retrieval, scoring, state, votes
+from paperloom.operators import dedup, enrich, metrics, nearest, rank, retrieval, scoring, state, votes
 
 
 def one(spark, column):
@@ -160,7 +160,7 @@ def test_retrieval(spark):
     for n, want in ((2, [1, 2]), (9, [4, 5, 6, 7, 8, 9])):
         turns = spark.createDataFrame([(1, i + 1) for i in range(n)], "c int, t int")
         assert [r["t"] for r in retrieval.history(turns, "c", "t").orderBy("place").collect()] == want
-    near = metrics.neighbours(v, v.filter("k = 2"), "k", "v", 2)
+    near = nearest.nearest(v, v.filter("k = 2"), "k", "v", 2)
     assert [r["k"] for r in near.orderBy("rank").collect()] == [3, 0]
 
 
