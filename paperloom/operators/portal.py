@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import blank, filled, source_name
@@ -142,9 +142,18 @@ def pdf_status(files: DataFrame, size: str, content: str, most: int = 60_000_000
     return F.when(F.col(content).isNull(), "missing").when(F.col(size) > most, "too_large").when(F.substring(F.hex(content), 1, 8) != "25504446", "not_pdf").otherwise("ok")
 
 
-def manifest(passages: DataFrame, key: str) -> DataFrame:
-    """One line for each text with passages: their number and words."""
-    return passages.groupBy(key).agg(F.count("*").alias("n_passages"), F.sum("words").alias("n_words"))
+def write_passages(passages: DataFrame, key: str, path: str, buckets: int = 64) -> None:
+    """Passages as JSON lines, a document's in one bucket, in order; documents of the buckets that `passages` has replace
+    theirs.  Files are written by tasks and count once the job is committed, so a failed task leaves none."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+    rows = passages.select("*", bucket)
+    rows.repartition("bucket", key).sortWithinPartitions("bucket", key, *[c for c in ("section", "passage") if c in passages.columns]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
+
+
+def manifest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """One line for each document with committed passages below `path`: their number and words; `key` as in a schema."""
+    rows = spark.read.schema(f"{key}, words long, bucket int").json(path)
+    return rows.groupBy(rows.columns[0]).agg(F.count("*").alias("n_passages"), F.sum("words").alias("n_words"))
 
 
 def saved_of(saved: DataFrame, users: DataFrame, user: str, value: str) -> DataFrame:

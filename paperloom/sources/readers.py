@@ -14,6 +14,9 @@ _OPENALEX = ("id string, doi string, title string, display_name string, publicat
              "authorships array<struct<author: struct<id: string, display_name: string>>>, abstract_inverted_index map<string, array<int>>, "
              "primary_location struct<landing_page_url: string, source: struct<display_name: string>>")
 
+_WORKING = "title string, authors array<string>, abstract string, displaydate string, url string"
+_PAPER = ("title string, abstract string, url string, publicationDate string, authors array<struct<name: string>>, externalIds struct<DOI: string, ArXiv: string>")
+
 
 def _item(df: DataFrame, **columns: Column) -> DataFrame:
     """The item columns in order, those not given as null texts, then any others."""
@@ -47,11 +50,16 @@ def atom(spark: SparkSession, path: str, source: str, section: str, cutoff: str,
 
 def crossref(spark: SparkSession, path: str, source: str, section: str = "3") -> DataFrame:
     """Works of a Crossref reply, one JSON object a line; works without a title are dropped, unknown citations stay null."""
-    raw = spark.read.schema(_CROSSREF).json(path).filter(~text.blank(F.get("title", F.lit(0))))
+    return crossref_items(spark.read.schema(_CROSSREF).json(path), F.lit(source), F.lit(section))
+
+
+def crossref_items(works: DataFrame, source: Column, section: Column) -> DataFrame:
+    """Works as Crossref has them, as items."""
+    raw = works.filter(~text.blank(F.get("title", F.lit(0))))
     first = lambda c: F.get(F.col(f"{c}.date-parts"), F.lit(0))
     parts = F.coalesce(first("published"), first("issued"), first("created"))
     return _item(raw, title=text.clean_html(F.get("title", F.lit(0))), authors=_first_people(F.col("author"), lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))), abstract=text.tidy(F.col("abstract"), 1500),
-                 url=F.coalesce("URL", F.concat(F.lit("https://doi.org/"), "DOI")), date=F.coalesce(dates.parts_to_iso(parts), F.lit("")), source=F.lit(source), section=F.lit(section), doi=F.lower("DOI"),
+                 url=F.coalesce("URL", F.concat(F.lit("https://doi.org/"), "DOI")), date=F.coalesce(dates.parts_to_iso(parts), F.lit("")), source=source, section=section, doi=F.lower("DOI"),
                  cites=F.col("is-referenced-by-count"), journal=F.get("container-title", F.lit(0)), kind=F.col("type"))
 
 
@@ -66,12 +74,16 @@ def openalex(spark: SparkSession, path: str, source: str, section: str) -> DataF
 
 def working_papers(spark: SparkSession, path: str) -> DataFrame:
     """Records of a working-paper API: the number is the link's last part, later pages replace earlier ones."""
-    raw = spark.read.schema("title string, authors array<string>, abstract string, displaydate string, url string, load_order long").json(path)
+    return working_paper_items(spark.read.schema(_WORKING + ", load_order long").json(path))
+
+
+def working_paper_items(raw: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Records (with load_order) as items, each number once: the one loaded last; dates that can't be read are `as_of`."""
     wp = F.element_at(F.split("url", "/"), -1)
     last = raw.withColumn("nber_wp", wp).withColumn("__n", F.row_number().over(Window.partitionBy("nber_wp").orderBy(F.desc("load_order")))).filter("__n = 1")
     people = F.array_join(F.transform("authors", lambda a: text.clean_html(a)), ", ")
-    day = F.try_to_date("displaydate", "MMMM yyyy")
-    return _item(last, title=text.clean_html(F.col("title")), authors=people, abstract=text.clean_html(F.col("abstract")), url=F.col("url"), date=day.cast("string"), source=F.lit("nber"), section=F.lit("2"), doi=F.concat(F.lit("10.3386/"), "nber_wp"), nber_wp=F.col("nber_wp"))
+    day = F.coalesce(F.try_to_date(F.trim("displaydate"), "MMMM yyyy"), F.lit(as_of).cast("date"))
+    return _item(last, title=text.clean_html(F.col("title")), authors=people, abstract=text.clean_html(F.col("abstract")), url=F.concat(F.lit("https://www.nber.org"), F.coalesce("url", F.lit(""))), date=day.cast("string"), source=F.lit("nber"), section=F.lit("1"), doi=F.concat(F.lit("10.3386/"), "nber_wp"), nber_wp=F.col("nber_wp"))
 
 
 def newest_per_source(items: DataFrame, n: int) -> DataFrame:
@@ -84,3 +96,9 @@ def archive(spark: SparkSession, path: str) -> DataFrame:
     """Archived rows with `meta` as VARIANT; rows whose JSON can't be read are skipped."""
     rows = spark.read.parquet(path).withColumn("meta", F.try_parse_json("meta"))
     return rows.filter(F.col("meta").isNotNull())
+
+
+def paper_items(papers: DataFrame, source: str = "semantic-scholar", section: str = "3") -> DataFrame:
+    """Papers of a keyword search as items: four authors, 800 characters of the abstract, with their DOI and arXiv id."""
+    return _item(papers, title=text.clean_html(F.col("title")), authors=_first_people(F.col("authors"), lambda a: a["name"]), abstract=F.substring(text.clean_html(F.col("abstract")), 1, 800), url=F.coalesce("url", F.lit("")),
+                 date=F.coalesce("publicationDate", F.lit("")), source=F.lit(source), section=F.lit(section), doi=F.col("externalIds.DOI"), arxiv_id=F.col("externalIds.ArXiv"))
