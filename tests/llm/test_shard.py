@@ -39,15 +39,21 @@ def test_empty_and_few_rows(spark):
     assert shard.balanced_shards(df.limit(0), "doc_id", "text", 8).count() == 0
 
 
-def test_flows_respect_quotas():
-    want = {(0, 1): 50, (1, 0): 10, (2, 1): 30}
-    flow = shard._flows(want, [60, 40, 50], [60, 50, 60])
-    load = [60, 40, 50]
-    for (a, b), f in flow.items():
-        assert f <= want[a, b]
-        load[a] -= f
-        load[b] += f
-    assert all(x <= q for x, q in zip(load, [60, 50, 60])) and sum(flow.values()) >= 20
+def test_as_many_rows_go_either_way():
+    row = lambda a, b, power, n, gain: {"shard": a, "to": b, "power": power, "n": n, "gain": gain}
+    found = [row(0, 1, 3, 10, 50), row(0, 1, 0, 5, 0), row(1, 0, 1, 4, 4), row(1, 0, -1, 20, -40), row(1, 0, -5, 9, -200), row(1, 2, 9, 9, 900)]
+    # ten gain 5 each: against four that gain 1 and six that lose 2; the five that gain nothing don't go against a loss
+    assert shard._matched(found, 3) == [0, 10, 0, 10, 0, 0, 0, 0, 0]
+    ring = [row(0, 1, 2, 5, 20), row(1, 2, 2, 3, 9), row(2, 0, -1, 4, -4), row(2, 1, -4, 9, -99)]
+    assert shard._matched(ring, 3) == [0, 3, 0, 0, 0, 3, 3, 0, 0]
+    four = [row(0, 1, 2, 5, 20), row(1, 2, 2, 3, 9), row(2, 3, -1, 4, -4), row(3, 0, 1, 2, 4)]
+    assert shard._matched(four, 4) == [0, 2, 0, 0, 0, 0, 2, 0, 0, 0, 0, 2, 2, 0, 0, 0]
+
+
+def test_parts_of_labels_fill_shards():
+    room = shard.Room([10, 10, 10])
+    room.place([[(1, 12)], [(2, 5), (3, 5)], [(4, 3)]])
+    assert room.parts == [(1, 0, 10, 0), (1, 10, 12, 1), (2, 0, 5, 2), (3, 0, 5, 2), (4, 0, 3, 1)] and room.room == [0, 5, 0]
 
 
 def test_query(spark, sf):
