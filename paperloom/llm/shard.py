@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialise, release, shuffle_partitions
 
 #: Exchanges end when so many rounds in a row each added less than this share of all neighbours in the same shard.
-LEAST_GAIN, IDLE = 0.001, 3
+LEAST_GAIN, IDLE = 0.001, 5
 #: Rows go round rings of more than two shards if there are at most so many shards.
 RINGS = 32
 #: Labels spread until a round leaves more than this share of them.
@@ -275,9 +275,12 @@ def _exchanged(now: DataFrame, member: DataFrame, memberships: int, shards: int)
         idle = idle + 1 if last is not None and agree < max(last * (1 + LEAST_GAIN), last + 1) else 0
         last = agree
         flow = _matched([r for r in found if r["may"] and r["to"] is not None], shards)
-        if idle == IDLE or not any(flow):
+        if idle == IDLE or not (number % 2 or any(r["power"] > 0 for r in found)):  # or nobody gains anywhere
             release(wishes)
             break
+        if not any(flow):
+            release(wishes)
+            continue
         may = wishes.filter("may")
         most = F.get(F.array(*map(F.lit, flow)), F.col("shard") * shards + F.col("to"))
         going = _first(may.filter(most > 0), most).select("row", F.col("to").alias("next"))
@@ -306,7 +309,7 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int) -> DataFrame:
     Shard sizes differ by one row at most.  Links with one row, null ends and repeated memberships count for nothing.
     Ties go by hashes of the rows' numbers, so reruns agree.  The sizes of large labels, and counts of wishes by pair of
     shards and power of two, are all that reaches the driver, and no Python worker runs.  Exchanges go on until they add less than
-    a thousandth to the neighbours in the same shard for three rounds; the best round is kept.
+    a thousandth to the neighbours in the same shard for five rounds; the best round is kept.
     """
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
