@@ -20,10 +20,11 @@ from .textvec import LETTERS, Words, chunks
 
 PASSAGE_WORDS = 64
 HASHED = 96
-#: Most labelled documents the network is fitted on: those with the lowest hash of the id.
-SAMPLE = 3000
-#: Most passages of one document that the fit sees, spread evenly over it; all passages of all documents are scored.
-FITTED = 32
+#: The bounded sample that the network is fitted on: at most so many labelled documents, those with the lowest hash of id
+#: and text, and together at most so many passages (556 bytes each).  Every one of them is seen whole.
+SAMPLE, PASSAGES = 3000, 96_000
+#: Labelled documents of over this share of PASSAGES (768,000 words) are not in the sample; all documents are scored.
+LARGEST = 8
 ENCODED, GATES = 24, 12
 
 
@@ -150,12 +151,23 @@ def fit(owner: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 500, batch
 def train(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, sample: int = SAMPLE) -> Model:
     """Fit on up to `sample` of the rows of `df` that `labels` (id, 0/1 `label`) covers; null labels are left out.
 
-    At most `sample` times FITTED passages of 556 bytes reach the driver (53 MB), however long the texts are.  Of
-    contradicting labels for one id the lower one counts.
+    The sample is rows, in the order of a hash of id and text, until they have PASSAGES passages together; rows that are equal
+    in both count once, other rows of a repeated id each for itself.  All passages of a sampled row are fitted.  So at
+    most PASSAGES passages (53 MB) reach the driver, however long or often repeated rows are.  Of contradicting labels for
+    one id the lower one counts.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias("y"))
-    chosen = known.join(df.select(id_col).distinct(), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = df.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), utf8(text).alias("t"), F.col("y").cast("double").alias("y"))
+    own = df.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(known.withColumnRenamed(id_col, "id"), "id").withColumn("h", F.xxhash64("id", "t"))
+    long = F.greatest(F.lit(1), F.ceil(F.regexp_count(F.coalesce("t", F.lit("")), F.lit(r"[^\x00-\x20]+")) / PASSAGE_WORDS))
+    order = own.select("h", long.alias("n")).filter(F.col("n") <= PASSAGES // LARGEST).groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(sample).collect()
+    room, chosen = PASSAGES, []
+    for r in order:
+        if r["n"] > room:
+            break
+        room -= r["n"]
+        chosen.append(r["h"])
+    picked = df.sparkSession.createDataFrame(pa.table({"h": pa.array(chosen, pa.int64())}), "h long")
+    rows = own.join(F.broadcast(picked), "h", "left_semi").select("h", utf8("t").alias("t"), F.col("y").cast("double").alias("y"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,11 +175,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
             for a, b in chunks(texts):
                 owner, x = passages(texts[a:b])
                 cut = np.searchsorted(owner, np.arange(b - a + 1))
-                blobs = [x[np.linspace(cut[i], cut[i + 1] - 1, min(FITTED, cut[i + 1] - cut[i])).astype(int)].tobytes() for i in range(b - a)]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("y"), pa.array(blobs, pa.binary())], names=["id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y"), pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in range(b - a)], pa.binary())], names=["h", "y", "x"])
 
-    got = rows.mapInArrow(encode, "id string, y double, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    once = rows.mapInArrow(encode, "h long, y double, x binary").groupBy("h").agg(F.min("y").alias("y"), F.first("x").alias("x"))
+    got = once.toArrow().sort_by("h")
     each = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got.column("x").to_pylist()]
     owner = np.repeat(np.arange(len(each)), [len(e) for e in each])
     return fit(owner, np.concatenate(each) if each else np.zeros((0, N_FEATURES), np.float32), got.column("y").to_numpy())

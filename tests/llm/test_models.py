@@ -129,3 +129,23 @@ def test_toxicity_sample_keeps_the_ratio_of_classes(spark):
     full, part = (np.mean([r["p_toxic"] for r in ordinal.score(df.select("doc_id", "text"), "text", ordinal.train(df, df.select("doc_id", "toxic"), "doc_id", "text", "toxic", **bound)).collect()])
                   for bound in ({}, {"sample": 400}))
     assert full == pytest.approx(1 / 8, abs=0.03) and part == pytest.approx(full, abs=0.03)
+
+
+def test_the_fit_sees_whole_rows_and_is_bounded(spark, monkeypatch):
+    """One labelled id has most rows, with one text and with many, and some texts are long."""
+    seen = {}
+    monkeypatch.setattr(mil, "fit", lambda owner, x, y: seen.update(owner=owner, x=x, y=y))
+    long = " ".join(f"word{i}" for i in range(10_000))
+    rows = [(1, "the same text")] * 4000 + [(1, f"text {i}") for i in range(300)] + [(2, long), (3, None), (3, ""), (4, "unlabelled")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, None), (None, 1)], "doc_id long, quality int")
+    mil.train(df, labels, "doc_id", "text", "quality")
+    sizes = np.bincount(seen["owner"])
+    assert len(sizes) == 304 and sizes.max() == -(-10_000 // mil.PASSAGE_WORDS) and sorted(seen["y"])[:301] == [0.0] * 301
+    mil.train(df, labels, "doc_id", "text", "quality", sample=50)
+    assert len(np.bincount(seen["owner"])) == 50
+    monkeypatch.setattr(mil, "PASSAGES", 100)  # the long text is too large a part of it
+    mil.train(df, labels, "doc_id", "text", "quality")
+    assert len(seen["owner"]) == 100 and np.bincount(seen["owner"]).max() == 1
+    mil.train(df.limit(0), labels, "doc_id", "text", "quality")
+    assert not len(seen["y"])
