@@ -27,41 +27,54 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
-def _block(rows: DataFrame, ask: dict, k: int, digits: int) -> DataFrame:
-    """(number, sim, key): the k best rows of each task for each query."""
+def _block(rows: DataFrame, ask: dict, k: int, digits: int, others: bool) -> DataFrame:
+    """(number, sim, key, kin): the k best rows of each task for each query, of rows of one kin the best alone."""
     sent = rows.sparkSession.sparkContext.broadcast(ask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, own = sent.value["vector"], sent.value["key"]
-        sims, keys = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+        best = [np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)]
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
-                key = b.column(0).to_numpy(zero_copy_only=False)
+                key, kin = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
                 sim = np.round(q @ _matrix(b.column(1), q.shape[1]).T, digits) + 0.0
-                sim[own[:, None] == key[None, :]] = -np.inf
-                sims, keys = np.hstack([sims, sim]), np.hstack([keys, np.broadcast_to(key, sim.shape)])
-                order = np.lexsort((keys, -sims), axis=1)[:, :k]
-                sims, keys = np.take_along_axis(sims, order, 1), np.take_along_axis(keys, order, 1)
-        number, at = np.nonzero(sims > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(sims[number, at]), pa.array(keys[number, at])], ["number", "sim", "key"])
-
-    return rows.mapInArrow(run, "number long, sim double, key long")
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, digits: int = 4) -> DataFrame:
-    """(query, key, sim, rank): the k rows with the largest inner product for each query, itself left out.
-
-    Vectors are doubles of one length, keys long; rows without either take no part.  Of equals by `digits` places the smaller
-    key comes first.  The scan is exact: queries go out in blocks of QUERIES, each block's job multiplies them with the
-    rows of every task and keeps k for each query there, so a task sends queries times k rows, whatever it read.  No pair
-    of rows is made in Spark.  A block of queries is all that is on the driver.
+                if others:
+                    sim[own[:, None] == key[None, :]] = -np.inf
+                best = [np.hstack([old, np.broadcast_to(new, sim.shape)]) for old, new in zip(best, (sim, key, kin))]
+                order = np.lexsort((best[1], -best[0]), axis=1)
+                best = [np.take_along_axis(x, order, 1) for x in best]
+                same = np.argsort(best[2], axis=1, kind="stable")  # the best of a kin stands first
+                kins = np.take_along_axis(best[2], same, 1)
+                again = np.zeros(kins.shape, bool)
+                again[:, 1:] = kins[:, 1:] == kins[:, :-1]
+                np.put_along_axis(best[0], same, np.where(again, -np.inf, np.take_along_axis(best[0], same, 1)), 1)
+                order = np.argsort(-best[0], axis=1, kind="stable")[:, :k]
+                best = [np.take_along_axis(x, order, 1) for x in best]
+        number, at = np.nonzero(best[0] > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(x[number, at]) for x in best)], ["number", "sim", "key", "kin"])
+
+    return rows.mapInArrow(run, "number long, sim double, key long, kin long")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, digits: int = 4, kin: str | None = None, others: bool = True) -> DataFrame:
+    """(query, key, sim, rank): the k rows with the largest inner product for each query, itself left out if `others`.
+
+    Vectors are doubles of one length (ValueError for other queries than rows), keys long; rows without either take no
+    part.  Of equals by `digits` places the smaller key comes first.  Of rows that agree in the column `kin` the first one
+    alone counts, by a 64-bit hash; a null is no kin.  The scan is exact: queries go out in blocks of QUERIES, each
+    block's job multiplies them with the rows of every task and keeps k for each query there, so a task sends queries
+    times k rows, whatever it read.  No pair of rows is made in Spark.  A block of queries is all that is on the driver.
     """
     spark = vectors.sparkSession
-    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    kins = F.xxhash64(F.lit(0), F.col(key)) if kin is None else F.coalesce(F.when(F.col(kin).isNotNull(), F.xxhash64(F.lit(1), F.col(kin))), F.xxhash64(F.lit(0), F.col(key)))
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"), kins.alias("kin"))
     asked = queries.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
     # blocks are ranges of the keys, cut where a count by range says so; equal keys are one query
     asked = materialise(asked.dropDuplicates(["key"]))
+    widths = {w for df in (rows, asked) for w in df.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()} - {None}
+    if len(widths) > 1:
+        raise ValueError(f"vectors of {sorted(widths)} dimensions can't be compared")
     total = asked.count()
     blocks = -(-total // QUERIES)
     cuts = [float("-inf"), *(asked.approxQuantile("key", [i / blocks for i in range(1, blocks)], 0.0) if blocks > 1 else []), float("inf")]
@@ -74,8 +87,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
         found = some["vector"].combine_chunks()
         ask = {"key": some["key"].to_numpy(), "vector": _matrix(found, len(found[0]))}
         names = spark.createDataFrame(pa.table({"number": np.arange(some.num_rows), "query": ask["key"]}), "number long, query long")
+        first = Window.partitionBy("number", "kin").orderBy(F.desc("sim"), "key")
         order = Window.partitionBy("number").orderBy(F.desc("sim"), "key")
-        best = _block(rows, ask, k, digits).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        best = _block(rows, ask, k, digits, others).withColumn("rank", F.row_number().over(first)).filter("rank = 1")
+        best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         best.join(F.broadcast(names), "number").select("query", "key", "sim", "rank").write.parquet(f"{path}/{len(written)}")
         written.append(f"{path}/{len(written)}")
     schema = "query long, key long, sim double, rank int"
