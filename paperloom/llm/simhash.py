@@ -177,9 +177,12 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, words: int = 3) -> Da
 
 # ---- links by similarity ---------------------------------------------------------------------------------------
 
-#: Most rows whose shingles are counted to order shingles from rare to common, and most common ones kept.  The order
-#: decides only how many rows meet: the search is exact for any.
-COUNTED, COMMON = 10_000, 500_000
+#: Rows whose shingles are counted to order shingles from rare to common: about so many, but one of EVERY at least, so that
+#: what a few thousand rows share is seen in any corpus; and most common ones kept.  The order decides only how many rows
+#: meet: the search is exact for any.
+COUNTED, EVERY, COMMON = 10_000, 500, 500_000
+#: Rows of a key from which on it may be told apart by a second shared shingle, and rows of a key that meet in one block.
+HOT, BLOCK = 256, 512
 #: Rows of each key that its other rows meet in the first round, and in each later one.
 PIVOTS = 8, 32
 
@@ -192,7 +195,7 @@ def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
 
 def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of shingles that several of a fixed share of the rows (columns id, t) have."""
-    every = max(1, rows.count() // COUNTED)
+    every = max(1, min(rows.count() // COUNTED, EVERY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,8 +216,8 @@ def with_prefix(rows: DataFrame, words: int, similarity: float, common: tuple[np
     """Add what the distinct shingles of `t` give: `size`, their number, `f`, their SimHash, and `prefix`, the hashes of
     the first of them, from rare to common.
 
-    Sets of that similarity have at least `similarity` of either in common, so one of the first `size` less that, plus one.
-    A wordless text has the prefix 0.
+    Sets of that similarity have at least `similarity` of either in common, so one of the first `size` less that, plus one,
+    and two of the first one more (if that is two or more): the prefix has that one more.  A wordless text has the prefix 0.
     """
     shared = rows.sparkSession.sparkContext.broadcast(common)
     schema = T.StructType([*rows.schema.fields, T.StructField("size", T.IntegerType()), T.StructField("f", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
@@ -232,7 +235,7 @@ def with_prefix(rows: DataFrame, words: int, similarity: float, common: tuple[np
                 own = h[np.lexsort((h, count))]
                 sizes.append(len(h))
                 prints.append(_majority(_bit_counts(h), len(h)))
-                prefixes.append(own[:len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] if len(h) else np.zeros(1, np.int64))
+                prefixes.append(own[:len(h) - math.ceil(similarity * len(h) - 1e-9) + 2] if len(h) else np.zeros(1, np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=schema.names)
 
     return rows.select("*", utf8("t").alias("__utf8")).mapInArrow(run, schema)
@@ -262,18 +265,43 @@ def _with_component(live: DataFrame, edges: DataFrame) -> DataFrame:
     return live.join(tree.hint("merge"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
+def met_keys(entries: DataFrame) -> DataFrame:
+    """The entries (key, ...) whose key others have too."""
+    return entries.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1").drop("m")
+
+
+def _told_apart(live: DataFrame) -> DataFrame:
+    """`live` with the entries of hot keys, where that makes fewer pairs, replaced by ones for the key and a later one of the row.
+
+    Rows that share two keys or more share the first two of them, in the order that all rows have: pairs that have a hot
+    key as the first meet again in the key that stands for both.  Rows of one shingle, which alone share just one, have
+    equal shingles if they are similar, and those have been compared.
+    """
+    many = live.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > HOT)
+    hot = live.join(many.hint("merge"), "key")
+    later = live.select("id", F.col("key").alias("second"), F.col("pos").alias("at"))
+    both = materialise(hot.join(later.hint("merge"), "id").filter("at > pos").select("key", "second", "id", "size", "pos", "c", "m"))
+    pairs = both.groupBy("key", "second").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    fewer = materialise(many.join(pairs, "key", "left").filter(F.coalesce("pairs", F.lit(0)) < F.col("m") * F.col("m")).select("key"))
+    apart = both.join(fewer.hint("merge"), "key", "left_semi").select(F.xxhash64("key", "second").alias("key"), "id", "size", "pos", "c")
+    out = materialise(live.join(fewer.hint("merge"), "key", "left_anti").select("key", "id", "size", "pos", "c").unionByName(apart))
+    release(both, fewer)
+    return out
+
+
 def similar_links(entries: DataFrame, similarity: float, verify: Callable[[DataFrame], DataFrame], near: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that connect just the rows which pairs of that similarity connect.
 
-    `entries` (key, id, size, pos) are the rows' prefixes; `verify` returns those of the pairs (a, b), a < b, that have the
-    similarity.  The pairs `near` are verified first: what they link is one component.  Then every row meets PIVOTS rows of
-    each key, others in each round, while that still links a good part.  Then all pairs of different components
-    that share a key are compared: within a key, the rows outside its largest component with all others.  Pairs inside
-    a component need no comparison, so the work grows with the pairs that share a rare shingle but no component.
-    Python never holds a key's rows.
+    `entries` (key, id, size, pos) are the rows' prefixes, best without the keys that one row has, a written table, which is deleted; `verify` returns those of the pairs
+    (a, b), a < b, that have the similarity.  The pairs `near` are verified first: what they link is one component.  Then
+    every row meets PIVOTS rows of each key, others in each round, while that still links a good part.  Then all pairs of
+    different components that share a key are compared: within a key, the rows outside its largest component with all
+    others, in blocks of rows that tasks share; a key with over HOT rows is told apart by a second one first, where that
+    makes fewer pairs.  Pairs inside a component need no comparison, so the work grows with the pairs that share a rare
+    shingle but no component.  Python never holds a key's rows.
     """
-    several = entries.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1").drop("m")
-    live = materialise(several.withColumn("c", F.col("id")))
+    live = materialise(entries.withColumn("c", F.col("id")))
+    release(entries)
     tried = edges = None
 
     def compare(pairs: DataFrame) -> tuple[int, int]:
@@ -301,8 +329,14 @@ def similar_links(entries: DataFrame, similarity: float, verify: Callable[[DataF
         live = settle(live.drop("most"), linked > 0)
         if number > 1 and 10 * linked <= compared:
             break
-    few = live.filter("c <> most")
-    met = few.alias("x").join(live.alias("y").hint("merge"), F.col("x.key") == F.col("y.key"))
+    apart = _told_apart(live.drop("most"))
+    release(live)
+    live = settle(apart, False)
+    numbers = live.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = live.join(numbers.hint("merge"), "key")
+    few = dealt.filter("c <> most").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    all_ = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = few.alias("x").join(all_.alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")))
     met = met.filter((F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))) & _can_be_similar(similarity))
     compare(met.select(*_pairs("x.id", "y.id")).distinct())
     release(live)
@@ -320,7 +354,7 @@ def _similarities(a: list[bytes], b: list[bytes], words: int) -> list[float]:
 def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) of the rows that have a partner: classes of texts whose word shingles have that Jaccard similarity.
 
-    Equal texts are one class to begin with.  Of the different ones, those with SimHash words (over distinct shingles)
+    Equal texts (of one length and two equal hashes) are one class to begin with.  Of the different ones, those with SimHash words (over distinct shingles)
     within 3 bits of each other meet by ball hashing and are verified on the shingles of the whole texts.  Similar texts
     can differ in more bits: the rest is found by the rarest shingles, one of which every similar pair shares, and is
     verified likewise, so no pair of the similarity is left unconnected.  Wordless texts are alike; rows with a null id
@@ -328,12 +362,18 @@ def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, simil
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     marked = with_prefix(rows, words, similarity, common_shingles(rows, words))
-    marked = materialise(marked.select("id", "size", "f", "prefix", F.xxhash64("t").alias("h"), F.length(F.coalesce("t", F.lit(""))).alias("n")))
-    # rows with equal texts: the smallest id stands for all
-    same = materialise(marked.filter("id is not null").groupBy("h", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first(F.struct("size", "f", "prefix")).alias("p")))
-    entries = same.select(F.col("first").alias("id"), F.col("p.size").alias("size"), F.posexplode("p.prefix").alias("pos", "key"))
-
-    prints = materialise(same.select("first", F.col("p.f").alias("f")))
+    # equal texts have one length and two equal hashes
+    data = F.coalesce("t", F.lit(""))
+    marked = materialise(marked.select("id", "size", "f", "prefix", F.xxhash64(data).alias("h"), F.crc32(data.cast("binary")).alias("crc"), F.length(data).alias("n")).withColumn("row", F.monotonically_increasing_id()))
+    alike = ["h", "crc", "n"]
+    named = materialise(marked.select("id", *alike))
+    # of rows with equal texts the one with the smallest id stands for all
+    same = materialise(marked.filter("id is not null").groupBy(*alike).agg(F.min(F.struct("id", "row", "f")).alias("m"), F.count("*").alias("rows")).select(*alike, F.col("m.id").alias("first"), "m.row", "m.f", "rows"))
+    own = marked.select("row", "id", "size", "prefix").join(same.select("row").hint("merge"), "row", "left_semi")
+    entries = materialise(met_keys(own.select("id", "size", F.posexplode("prefix").alias("pos", "key"))))
+    release(marked)
+
+    prints = materialise(same.select("first", "f"))
     lowest = materialise(prints.groupBy("f").agg(F.min("first").alias("low")))
     ends = [lowest.select(F.col("f").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab"]
     near = near_links(lowest.select("f")).join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select(*_pairs("low_a", "low_b"))
@@ -361,7 +401,7 @@ def similar_classes(df: DataFrame, id_col: str, text: str, words: int = 5, simil
         return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
     tree = connected_components(similar_links(entries, similarity, verify, near))
-    copies = marked.join(same.filter("rows > 1").select("h", "n", "first"), ["h", "n"]).select("id", "first")
+    copies = named.join(same.filter("rows > 1").select(*alike, "first"), alike).select("id", "first")
     linked = copies.select("id", "first").unionByName(tree.select(F.col("node").alias("id"), F.col("node").alias("first"))).distinct()
     return linked.join(tree.select(F.col("node").alias("first"), "component"), "first", "left").select(F.col("id"), F.coalesce("component", "first").alias("component_id")).distinct()
 

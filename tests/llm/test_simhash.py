@@ -163,6 +163,7 @@ def test_a_large_group_of_different_copies_needs_few_comparisons(spark):
     # sets of 100 shingles: 90 that all share, one of two halves of 5, and 5 of their own; halves are alike by less than 0.9
     rows = [(f"{k}", i, 100, pos) for i in range(n) for pos, k in enumerate([*(f"own {i} {j}" for j in range(5)), *(f"half {i % 2} {j}" for j in range(5)), *range(11)])]
     entries = spark.createDataFrame(rows, "name string, id long, size int, pos int").selectExpr("xxhash64(name) as key", "id", "size", "pos")
+    entries = simhash.materialise(entries)
 
     def verify(pairs):
         compared.append(pairs.count())
@@ -171,3 +172,39 @@ def test_a_large_group_of_different_copies_needs_few_comparisons(spark):
     assert classes(edges, range(n)) == {i: i % 2 for i in range(n)}
     # the halves, which differ, are compared in full; pairs of one half are not
     assert sum(compared) <= n * n / 4 + 20 * n
+
+
+def test_a_shingle_of_thousands_of_unrelated_rows(spark, monkeypatch):
+    """What is common isn't known beforehand, so it stands in many prefixes; unrelated rows that share it alone aren't compared."""
+    monkeypatch.setattr(simhash, "COUNTED", 1)
+    monkeypatch.setattr(simhash, "EVERY", 10_000)
+    monkeypatch.setattr(simhash, "HOT", 30)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    compared = []
+    plain = simhash._perhaps
+    monkeypatch.setattr(simhash, "_perhaps", lambda rows, wanted: compared.append(wanted.count()) or plain(rows, wanted))
+    rng = random.Random(21)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    hot = "this line is in all of them"
+    rows = []
+    for i in range(0, 3000, 2):
+        w = [word() for _ in range(rng.randrange(10, 40))]
+        rows += [(i, f"{hot} {' '.join(w)}"), (i + 1, f"{hot} {' '.join(w[:-1])} {word()}" if i % 10 == 0 else f"{' '.join(word() for _ in range(20))} {hot}")]
+    want = {x: i for i in range(0, 3000, 10) if jaccard(rows[i][1], rows[i + 1][1]) >= 0.8 for x in (i, i + 1)}
+    assert len(want) > 300 and similar(spark, rows) == want
+    assert sum(compared) < 40 * len(rows)
+
+
+def test_keys_told_apart_by_a_second_one(spark, monkeypatch):
+    """Keys of all rows with few pairs in common, and hot keys whose rows are all alike, against all pairs."""
+    for name, value in (("HOT", 5), ("BLOCK", 4), ("PIVOTS", (1, 1))):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(22)
+    sets = {i: ["a", "b"] + [f"k{rng.randrange(12)}" for _ in range(4)] + [f"s{i // 3}"] for i in range(90)}
+    rows = [(k, i, 20, pos) for i, own in sets.items() for pos, k in enumerate(dict.fromkeys(sorted(own)))]
+    entries = simhash.materialise(spark.createDataFrame(rows, "name string, id long, size int, pos int").selectExpr("xxhash64(name) as key", "id", "size", "pos"))
+    alike = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 4
+    good = [(a, b) for a in sets for b in sets if a < b and alike(a, b)]
+    table = spark.createDataFrame(good, "a long, b long")
+    got = [(r["a"], r["b"]) for r in simhash.similar_links(entries, 0.8, lambda pairs: pairs.join(table, ["a", "b"], "left_semi")).collect()]
+    assert set(got) <= set(good) and classes(got, sets) == classes(good, sets)
