@@ -247,6 +247,11 @@ def _can_be_similar(similarity: float) -> Column:
     return left + 1e-9 >= (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity))
 
 
+def _plain(similarity: float) -> Column:
+    """Whether an entry is of the prefix of which similar rows share one, not the one more of which they share two."""
+    return F.col("pos") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9)
+
+
 def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose id is among `wanted` (id), and some others: ids set bits of a table of at most 65,536 words, which is
     broadcast.  It keeps most other rows, with their texts, out of a shuffle."""
@@ -270,21 +275,27 @@ def met_keys(entries: DataFrame) -> DataFrame:
     return entries.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1").drop("m")
 
 
-def _told_apart(live: DataFrame) -> DataFrame:
-    """`live` with the entries of hot keys, where that makes fewer pairs, replaced by ones for the key and a later one of the row.
+def _told_apart(live: DataFrame, similarity: float) -> DataFrame:
+    """`live` with the entries of hot keys, where that halves the pairs, replaced by ones for the key and a later one of the row.
 
     Rows that share two keys or more share the first two of them, in the order that all rows have: pairs that have a hot
     key as the first meet again in the key that stands for both.  Rows of one shingle, which alone share just one, have
     equal shingles if they are similar, and those have been compared.
     """
-    many = live.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > HOT)
-    hot = live.join(many.hint("merge"), "key")
+    def pairs(entries: DataFrame, *by: str) -> DataFrame:
+        """How many pairs of different components the rows of each key make, if they all meet its largest one's and each other."""
+        sizes = entries.groupBy(*by, "c").agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum("n").alias("m"), F.max("n").alias("top"))
+        return sizes.withColumn("pairs", F.col("m") * (F.col("m") - F.col("top")))
+
+    plain = live.filter(_plain(similarity))
+    many = pairs(plain, "key").filter(F.col("m") > HOT).select("key", F.col("pairs").alias("all_pairs"))
+    hot = plain.join(many.hint("merge"), "key")
     later = live.select("id", F.col("key").alias("second"), F.col("pos").alias("at"))
-    both = materialise(hot.join(later.hint("merge"), "id").filter("at > pos").select("key", "second", "id", "size", "pos", "c", "m"))
-    pairs = both.groupBy("key", "second").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
-    fewer = materialise(many.join(pairs, "key", "left").filter(F.coalesce("pairs", F.lit(0)) < F.col("m") * F.col("m")).select("key"))
+    both = materialise(hot.join(later.hint("merge"), "id").filter("at > pos").select("key", "second", "id", "size", "pos", "c"))
+    apart = pairs(both, "key", "second").groupBy("key").agg(F.sum("pairs").alias("pairs"))
+    fewer = materialise(many.join(apart, "key", "left").filter(2 * F.coalesce("pairs", F.lit(0)) < F.col("all_pairs")).select("key"))
     apart = both.join(fewer.hint("merge"), "key", "left_semi").select(F.xxhash64("key", "second").alias("key"), "id", "size", "pos", "c")
-    out = materialise(live.join(fewer.hint("merge"), "key", "left_anti").select("key", "id", "size", "pos", "c").unionByName(apart))
+    out = materialise(plain.join(fewer.hint("merge"), "key", "left_anti").select("key", "id", "size", "pos", "c").unionByName(apart))
     release(both, fewer)
     return out
 
@@ -322,14 +333,15 @@ def similar_links(entries: DataFrame, similarity: float, verify: Callable[[DataF
     live = settle(live, near is not None and compare(near)[1] > 0)
     for number in count(1):
         order, most = F.xxhash64("id", F.lit(number)), PIVOTS[number > 1]
-        pivots = live.groupBy("key", F.pmod(order, F.lit(most))).agg(F.min(F.struct(order.alias("o"), "id", "size", "pos", "c")).alias("p")).select("key", "p.*")
-        rest = live if number == 1 else live.filter("c <> most")
+        plain = live.filter(_plain(similarity))
+        pivots = plain.groupBy("key", F.pmod(order, F.lit(most))).agg(F.min(F.struct(order.alias("o"), "id", "size", "pos", "c")).alias("p")).select("key", "p.*")
+        rest = plain if number == 1 else plain.filter("c <> most")
         met = rest.alias("x").join(pivots.alias("y").hint("merge"), F.col("x.key") == F.col("y.key")).filter(F.col("x.c") != F.col("y.c"))
         compared, linked = compare(met.filter(_can_be_similar(similarity)).select(*_pairs("x.id", "y.id")).distinct())
         live = settle(live.drop("most"), linked > 0)
         if number > 1 and 10 * linked <= compared:
             break
-    apart = _told_apart(live.drop("most"))
+    apart = _told_apart(live.drop("most"), similarity)
     release(live)
     live = settle(apart, False)
     numbers = live.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

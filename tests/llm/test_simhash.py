@@ -201,7 +201,7 @@ def test_keys_told_apart_by_a_second_one(spark, monkeypatch):
         monkeypatch.setattr(simhash, name, value)
     rng = random.Random(22)
     sets = {i: ["a", "b"] + [f"k{rng.randrange(12)}" for _ in range(4)] + [f"s{i // 3}"] for i in range(90)}
-    rows = [(k, i, 20, pos) for i, own in sets.items() for pos, k in enumerate(dict.fromkeys(sorted(own)))]
+    rows = [(k, i, 100, pos) for i, own in sets.items() for pos, k in enumerate(dict.fromkeys(sorted(own)))]
     entries = simhash.materialise(spark.createDataFrame(rows, "name string, id long, size int, pos int").selectExpr("xxhash64(name) as key", "id", "size", "pos"))
     alike = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 4
     good = [(a, b) for a in sets for b in sets if a < b and alike(a, b)]
