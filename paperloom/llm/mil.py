@@ -157,17 +157,19 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     one id the lower one counts.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias("y"))
-    own = df.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(known.withColumnRenamed(id_col, "id"), "id").withColumn("h", F.xxhash64("id", "t"))
+    own = df.select(F.col(id_col).alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("id", "t"))
     long = F.greatest(F.lit(1), F.ceil(F.regexp_count(F.coalesce("t", F.lit("")), F.lit(r"[^\x00-\x20]+")) / PASSAGE_WORDS))
-    order = own.select("h", long.alias("n")).filter(F.col("n") <= PASSAGES // LARGEST).groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(sample).collect()
+    # only hashes and lengths are shuffled; texts are read again and stay where they are
+    found = own.select("id", "h", long.alias("n")).join(known.withColumnRenamed(id_col, "id"), "id").filter(F.col("n") <= PASSAGES // LARGEST)
+    order = found.groupBy("h").agg(F.max("n").alias("n"), F.min("y").alias("y")).orderBy("h").limit(sample).collect()
     room, chosen = PASSAGES, []
     for r in order:
         if r["n"] > room:
             break
         room -= r["n"]
-        chosen.append(r["h"])
-    picked = df.sparkSession.createDataFrame(pa.table({"h": pa.array(chosen, pa.int64())}), "h long")
-    rows = own.join(F.broadcast(picked), "h", "left_semi").select("h", utf8("t").alias("t"), F.col("y").cast("double").alias("y"))
+        chosen.append((r["h"], float(r["y"])))
+    picked = df.sparkSession.createDataFrame(pa.table({"h": pa.array([h for h, _ in chosen], pa.int64()), "y": pa.array([y for _, y in chosen], pa.float64())}), "h long, y double")
+    rows = own.join(F.broadcast(picked), "h").select("h", utf8("t").alias("t"), "y")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
