@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import blank, person_key
+from paperloom.session import materialise
+
+from .rank import numbered
 
 
 def fill_only(items: DataFrame, found: DataFrame, key: str, texts: list[str], numbers: list[str]) -> DataFrame:
@@ -44,7 +47,7 @@ def correct_top(rows: DataFrame, key: str, value: str, id_col: str, published: D
     return rows.join(higher, id_col, "left").withColumn(value, F.greatest(value, "__new")).drop("__new")
 
 
-#: Most titles without an inner word, which are compared with every text.
+#: Titles without an inner word that are broadcast at once, to be compared with every text.
 SHORT_TITLES = 10_000
 
 
@@ -53,7 +56,7 @@ def contains_match(items: DataFrame, text: str, titles: DataFrame, title: str, t
 
     Only the ends of a title can be parts of longer words in a text: its longest inner word is a whole word there, which
     makes it an equality join of ids; texts are fetched for the pairs and verified on the whole title.  Titles without an
-    inner word are broadcast, and ValueError says if there are more than SHORT_TITLES.
+    inner word are broadcast, SHORT_TITLES at a time.
     """
     split = r"[^\p{L}\p{N}]+"
     listed = titles.filter(~blank(F.col(title))).select(title_id, F.col(title).alias("__title"))
@@ -61,14 +64,19 @@ def contains_match(items: DataFrame, text: str, titles: DataFrame, title: str, t
     longest = F.array_max(F.transform(F.filter(F.split(inner, split), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = listed.withColumn("__w", longest)
     short = keyed.filter("__w is null").drop("__w")
-    if short.limit(SHORT_TITLES + 1).count() > SHORT_TITLES:
-        raise ValueError(f"more than {SHORT_TITLES} titles of one or two words")
+    n_short = short.count()
+    if n_short > SHORT_TITLES:
+        short = materialise(numbered(short, [F.col("__title"), F.col(title_id)], "__n"))
+        blocks = [short.filter((F.col("__n") >= at) & (F.col("__n") < at + SHORT_TITLES)).drop("__n") for at in range(0, n_short, SHORT_TITLES)]
+    else:
+        blocks = [short]
     own = items.select(item_id, F.col(text).alias("__text")).filter("__text is not null")
     words = own.select(item_id, F.explode(F.array_distinct(F.split("__text", split))).alias("__w"))
     pairs = words.join(keyed.filter("__w is not null"), "__w").select(item_id, title_id, "__title").distinct()
     found = pairs.join(own, item_id).filter(F.contains("__text", F.col("__title"))).select(item_id, title_id)
-    few = own.join(F.broadcast(short), F.contains("__text", F.col("__title"))).select(item_id, title_id)
-    return found.unionByName(few).distinct()
+    for few in blocks:
+        found = found.unionByName(own.join(F.broadcast(few), F.contains("__text", F.col("__title"))).select(item_id, title_id))
+    return found.distinct()
 
 
 def keep_last_lookup(items: DataFrame, lookup: DataFrame, key: str, order: list[Column], columns: list[str]) -> DataFrame:

@@ -179,7 +179,9 @@ def test_top_k_is_a_prefix(spark):
     assert small == {x for x in large if x[1] <= 3}
 
 
-def test_titles_in_texts_may_begin_and_end_inside_words(spark):
+@pytest.mark.parametrize("at_once", [10_000, 2])
+def test_titles_in_texts_may_begin_and_end_inside_words(spark, monkeypatch, at_once):
+    monkeypatch.setattr(enrich, "SHORT_TITLES", at_once)
     items = spark.createDataFrame([(1, "concat sat here"), (2, "the cat saturated a mat-like thing"), (3, None), (4, "cat, sat")], "i int, t string")
     titles = spark.createDataFrame([("a", "cat sat"), ("b", "at saturated a mat"), ("c", "e cat sat"), ("d", "!"), ("e", None), ("f", "-like")], "k string, title string")
     got = {(r["i"], r["k"]) for r in enrich.contains_match(items, "t", titles, "title", "k", "i").collect()}
