@@ -33,3 +33,13 @@ def pdf_link(uid: Column, url: Column) -> Column:
     return F.coalesce(
         F.when(filled(url).rlike(r"(?i)\.pdf([?#].*)?$"), url), F.concat(F.lit("https://arxiv.org/pdf/"), F.coalesce(arxiv, from_url)),
         F.concat(F.lit("https://www.nber.org/system/files/working_papers/"), paper, F.lit("/"), paper, F.lit(".pdf")))
+
+
+def free_link(uid: Column, url: Column) -> Column:
+    """A link to the full text that follows from the page's link or the key, without case: arXiv before a mirror of it,
+    then working papers, then links that are files themselves; null if none does."""
+    arxiv = F.coalesce(_found(url, r"(?i)arxiv\.org/abs/([^/?#]+)"), _found(uid, "^arxiv:(.+)$"), _found(url, r"(?i)repec:arx:papers:([\d.]+)"))
+    paper = _found(url, r"(?i)nber\.org/papers/w(\d+)")
+    return F.coalesce(
+        F.concat(F.lit("https://arxiv.org/pdf/"), arxiv), F.concat(F.lit("https://www.nber.org/system/files/working_papers/w"), paper, F.lit("/w"), paper, F.lit(".pdf")),
+        F.when(filled(url).rlike(r"(?i)\.pdf(\?|$)"), url))
