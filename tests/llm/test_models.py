@@ -32,6 +32,65 @@ def test_mixture_of_two_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(df, "text", empty).collect()} == {"und"}
 
 
+def made(languages):
+    """Texts of languages that share no letters' order: each has words of its own."""
+    rng = np.random.default_rng(5)
+    words = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(25)] for x in languages}
+    return words, [(x, " ".join(rng.choice(words[x], 60))) for x in languages for _ in range(2)]
+
+
+def test_languages_in_blocks(spark, monkeypatch):
+    """Blocks of 3 choose what one block of all 11 does, for texts of one and of two languages from any blocks."""
+    names = [f"l{i:02d}" for i in range(11)]
+    words, rows = made(names)
+    df = spark.createDataFrame(rows, "lang string, text string")
+    texts = [" ".join(words[x]).encode() for x in names] + [" ".join(words[a] + words[b]).encode() for a, b in (("l00", "l10"), ("l04", "l05"), ("l09", "l02"))] + [b"", b"12 !"]
+    whole = langid.train(df, "text", "lang")
+    assert len(whole.blocks) == 1
+    want, n = whole.mixtures(texts)
+    monkeypatch.setattr(langid, "AT_ONCE", 3)
+    monkeypatch.setattr(langid, "SCORED", 7)
+    parts = langid.train(df, "text", "lang")
+    assert [b[0] for b in parts.blocks] == [3, 3, 3, 2] and parts.languages == whole.languages == names
+    got, m = parts.mixtures(texts)
+    assert (got > 0).tolist() == (want > 0).tolist() and np.allclose(got, want, atol=0.02) and n.tolist() == m.tolist()
+    assert [np.flatnonzero(x).tolist() for x in got[:11]] == [[i] for i in range(11)] and np.flatnonzero(got[11]).tolist() == [0, 10]
+
+
+def test_hundreds_of_languages(spark):
+    names = [f"l{i:03d}" for i in range(300)]
+    words, rows = made(names)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    model = langid.train(df, "text", "lang")
+    assert len(model.languages) == 300 and len(model.blocks) == 10
+    got = langid.identify(df.sample(0.1, seed=1), "text", model).collect()
+    assert len(got) > 30 and all(r["lang_pred"] == r["lang"] and r["proportions"].keys() == {r["lang"]} for r in got)
+
+
+def test_trigram_counts_of_few_and_many_labels(spark, monkeypatch):
+    rows = [(f"l{i % 40}", f"abc abd {'xyz ' * (i % 3)}") for i in range(80)]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    got = {(r["lang"], r["bin"]): r["n"] for r in langid.trigram_counts(df, "text", "lang").collect()}
+    want = {}
+    for lang, text in rows:
+        data = np.frombuffer(b" " + text.encode() + b" ", np.uint8)
+        for i in range(len(data) - 2):
+            if data[i + 1] != 32:
+                key = lang, int(langid._bins(data[i:i + 3])[0])
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+    one = df.filter("lang = 'l1'")
+    assert {(r["lang"], r["bin"]): r["n"] for r in langid.trigram_counts(one, "text", "lang").collect()} == {k: v for k, v in want.items() if k[0] == "l1"}
+
+
+def test_equal_languages(spark):
+    """Of two languages with the same texts the first leaves; rows that are repeated are predicted alike."""
+    text = "the same words in either language and some more of these"
+    df = spark.createDataFrame([("a", text), ("b", text)] * 3, "lang string, text string")
+    got = langid.identify(df, "text", langid.train(df, "text", "lang")).collect()
+    assert {(r["lang_pred"], r["score"]) for r in got} == {("b", 1.0)} and len(got) == 6
+
+
 def test_quality(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = queries.quality(spark, SF).collect()
