@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from paperloom.functions.text import blank, contains_any, filled, person_key
 from paperloom.operators.dedup import collect, keep_first
 from paperloom.operators.gates import author_fits
 from paperloom.operators.rank import top_per_group
+from paperloom.session import materialise
+
+from .lookup import first_named
 
 
 def tiered(items: DataFrame, journals: DataFrame, source: str, label: str, tier: str, date: str, n: int = 100) -> DataFrame:
@@ -23,6 +28,34 @@ def needs_abstract(items: DataFrame, archive: DataFrame, key: str, abstract: str
     return items.join(archive.select(key), key, "left_anti").filter(blank(F.col(abstract)))
 
 
+def practitioner(items: DataFrame, journals: DataFrame, archive: DataFrame, uid: str, pages: Callable[[DataFrame], DataFrame], n: int = 30) -> DataFrame:
+    """The newest n items of each journal of the dimension (label), all of tier T2, with abstracts from their pages.
+
+    `pages` maps the items whose DOI the archive's keys (`doi:` and the DOI) lack to (url, abstract), so that pages of
+    archived items aren't fetched again; what it has nothing for gets an empty abstract, items that it isn't asked for
+    stay as they are.  Items without a DOI are never looked up.  Of several abstracts of one page the longest counts.
+    """
+    listed = tiered(items, journals.select("label", F.lit("T2").alias("tier")), "source", "label", "tier", "date", n)
+    keyed = listed.withColumn("__uid", F.when(~blank(F.col("doi")), F.concat(F.lit("doi:"), F.lower("doi"))))
+    held = archive.select(F.col(uid).alias("__uid"), F.lit(True).alias("__held")).filter("__uid is not null").distinct()
+    marked = materialise(keyed.join(held, "__uid", "left").withColumn("__new", F.col("__uid").isNotNull() & F.col("__held").isNull()).drop("__held"))
+    found = pages(marked.filter("__new").select(*items.columns)).groupBy(F.col("url").alias("__url")).agg(F.max_by("abstract", F.struct(F.length("abstract"), F.col("abstract"))).alias("__abstract"))
+    joined = marked.join(found, F.col("__new") & (F.col("url") == F.col("__url")), "left")
+    return joined.withColumn("abstract", F.when(F.col("__new"), filled(F.col("__abstract"))).otherwise(F.col("abstract"))).drop("__uid", "__new", "__url", "__abstract")
+
+
+def repositories(works: DataFrame, wanted: DataFrame, hits: DataFrame, n: int = 100) -> DataFrame:
+    """The newest n works of each repository, whose source says where they come from.
+
+    wanted: (label, id); those without an id get that of the first hit (label, place, name, id) whose name holds the
+    label, without case, and are skipped if there is none.  works: repository, date, title, url and others.
+    """
+    found = first_named(hits.select(F.col("label").alias("__label"), "place", "name", F.element_at(F.split("id", "/"), -1).alias("__found")), "__label", "name", "place").select("__label", "__found")
+    known = wanted.join(found, F.col("label") == F.col("__label"), "left").select("label", F.coalesce(F.nullif("id", F.lit("")), "__found").alias("repository")).filter("repository is not null").distinct()
+    own = works.drop("source").join(known, "repository").withColumn("source", F.concat("label", F.lit(" (via OpenAlex)")))
+    return top_per_group(own, ["source"], [F.desc_nulls_last("date"), F.col("title"), F.col("url")], n).drop("rank", "label")
+
+
 def resolve_topics(hits: DataFrame, term: str, score: str, field: str, wanted: str, least: int = 3000) -> tuple[DataFrame, DataFrame]:
     """(terms with a topic, terms to search as text): a term's best hit has to be of the field and score enough."""
     best = top_per_group(hits, [term], [F.desc_nulls_last(score), F.col("id")], 1).drop("rank")

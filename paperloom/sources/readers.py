@@ -29,14 +29,27 @@ def _first_people(people: Column, name, n: int = 4) -> Column:
     return F.array_join(F.transform(F.slice(people, 1, n), name), ", ")
 
 
-def rss(spark: SparkSession, path: str, source: str, section: str, cutoff: str | None = None, keep_undated: bool = True) -> DataFrame:
-    """Items of RSS feeds; without a cutoff all are kept, and undated ones if wanted."""
+def rss(spark: SparkSession, path: str, source: str | Column, section: str, cutoff: str | None = None, keep_undated: bool = True, most: int | None = 600) -> DataFrame:
+    """Items of RSS feeds; without a cutoff all are kept, and undated ones if wanted.
+
+    `most`: characters of the description that are kept (None: all).  `source` may be a column, as `from_folder`.
+    """
     raw = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
     day = F.try_to_date(F.regexp_extract(F.coalesce("pubDate", F.lit("")), r"(\d{1,2} \w{3} \d{4})", 1), "d MMM yyyy")
     if cutoff is not None:
         raw = raw.filter((day >= cutoff) | (day.isNull() if keep_undated else F.lit(False)))
     arxiv = F.nullif(F.regexp_extract(F.lower(F.coalesce("link", F.lit(""))), r"(?:arxiv\.org/abs/|repec:arx:papers:)(\d{4}\.\d{4,5})", 1), F.lit(""))
-    return _item(raw, title=text.clean_html(F.col("title")), abstract=F.substring(text.clean_html(F.col("description")), 1, 600), url=F.trim("link"), date=F.coalesce(day.cast("string"), F.lit("")), source=F.lit(source), section=F.lit(section), arxiv_id=arxiv)
+    told = text.clean_html(F.col("description"))
+    return _item(raw, title=text.clean_html(F.col("title")), abstract=told if most is None else F.substring(told, 1, most), url=F.trim("link"), date=F.coalesce(day.cast("string"), F.lit("")),
+                 source=F.lit(source), section=F.lit(section), arxiv_id=arxiv)
+
+
+def from_folder(name: str, before: str = "") -> Column:
+    """The value of the folder `name=value` that a file lies in, after `before`: a source for each folder of feeds."""
+    value = F.regexp_extract(F.col("_metadata.file_path"), f"/{name}=([^/]*)/", 1)
+    for _ in range(2):  # Spark escapes the folder's name, and the path as a whole is a URI
+        value = F.url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+    return F.concat(F.lit(before), value)
 
 
 def atom(spark: SparkSession, path: str, source: str, section: str, cutoff: str, most: int = 200) -> DataFrame:
@@ -48,7 +61,7 @@ def atom(spark: SparkSession, path: str, source: str, section: str, cutoff: str,
                  source=F.lit(source), section=F.lit(section), arxiv_id=F.regexp_extract("id", r"abs/(\d{4}\.\d{4,5})", 1))
 
 
-def crossref(spark: SparkSession, path: str, source: str, section: str = "3") -> DataFrame:
+def crossref(spark: SparkSession, path: str, source: str | Column, section: str = "3") -> DataFrame:
     """Works of a Crossref reply, one JSON object a line; works without a title are dropped, unknown citations stay null."""
     return crossref_items(spark.read.schema(_CROSSREF).json(path), F.lit(source), F.lit(section))
 
@@ -63,7 +76,7 @@ def crossref_items(works: DataFrame, source: Column, section: Column) -> DataFra
                  cites=F.col("is-referenced-by-count"), journal=F.get("container-title", F.lit(0)), kind=F.col("type"))
 
 
-def openalex(spark: SparkSession, path: str, source: str, section: str) -> DataFrame:
+def openalex(spark: SparkSession, path: str, source: str | Column, section: str) -> DataFrame:
     """Works of an OpenAlex reply: abstract from its inverted index, a missing day from the year."""
     raw = spark.read.schema(_OPENALEX).json(path)
     year = F.when(F.col("publication_year") > 0, F.concat(F.col("publication_year").cast("string"), F.lit("-01-01")))

@@ -2,7 +2,7 @@ import json
 import shutil
 
 from paperloom.operators import passages
-from paperloom.sources import readers
+from paperloom.sources import collect, readers
 from paperloom.streaming import events
 
 
@@ -54,3 +54,35 @@ def test_streams(spark, sf, tmp_path):
     for _ in range(2):  # the second run finds its checkpoint and adds nothing
         events.append_new(stream, str(tmp_path / "table"), "user_id", str(tmp_path / "at")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "table/*")).count() == batch.select("user_id").distinct().count()
+
+
+def test_practitioner_journals(spark):
+    rows = [(f"t{i}", f"u{i}", f"2024-01-{i:02d}", "journal:a", "10.1/A%d" % i, "had") for i in range(1, 6)] + [("t6", "u6", None, "journal:a", None, "had"), ("t7", "u7", "2024-02-01", "journal:b", "10.1/q", None), ("t8", "u8", "2024-02-01", None, "10.1/r", None)]
+    items = spark.createDataFrame(rows, "title string, url string, date string, source string, doi string, abstract string")
+    journals, archive = spark.createDataFrame([("journal:a",)], "label string"), spark.createDataFrame([("doi:10.1/a5",), ("doi:10.1/a5",), (None,)], "uid string")
+    asked = []
+
+    def pages(new):
+        asked.extend(sorted(r["url"] for r in new.collect()))
+        return spark.createDataFrame([("u4", "new"), ("u4", "longer"), ("u5", "unasked"), (None, "x")], "url string, abstract string")
+
+    got = {r["url"]: (r["abstract"], r["tier"]) for r in collect.practitioner(items, journals, archive, "uid", pages, 3).collect()}
+    assert asked == ["u3", "u4"] and got == {"u5": ("had", "T2"), "u4": ("longer", "T2"), "u3": ("", "T2")}
+    whole = {r["url"]: r["abstract"] for r in collect.practitioner(items, journals, archive, "uid", pages).collect()}
+    assert len(whole) == 6 and whole["u6"] == "had" and collect.practitioner(items.limit(0), journals, archive, "uid", pages).count() == 0
+
+
+def test_repositories(spark):
+    works = spark.createDataFrame([(r, f"2024-01-0{d}", f"t{d}", f"{r}{d}", "s") for r in ("R1", "R2", "R3") for d in (1, 2, 3)], "repository string, date string, title string, url string, source string")
+    wanted = spark.createDataFrame([("One", "R1"), ("Two", None), ("Three", ""), (None, None)], "label string, id string")
+    hits = spark.createDataFrame([("Two", 1, "the TWO", "https://x/R2"), ("Two", 0, "none", "https://x/R3"), ("Two", 2, "two again", "https://x/R3"), ("Three", 0, None, "R3")], "label string, place int, name string, id string")
+    got = sorted((r["source"], r["url"]) for r in collect.repositories(works, wanted, hits, 2).collect())
+    assert got == [("One (via OpenAlex)", "R12"), ("One (via OpenAlex)", "R13"), ("Two (via OpenAlex)", "R22"), ("Two (via OpenAlex)", "R23")]
+    assert collect.repositories(works.limit(0), wanted, hits).count() == 0 == collect.repositories(works, wanted.limit(0), hits).count()
+
+
+def test_sources_from_folders(spark, tmp_path):
+    names = ["plain", "a b", "Brand#1+2%", "é/x:y"]
+    spark.createDataFrame([(x, x) for x in names], "code string, title string").write.partitionBy("code").format("xml").option("rowTag", "item").save(str(tmp_path / "f"))
+    got = readers.rss(spark, str(tmp_path / "f"), readers.from_folder("code", "feed-"), "1").collect()
+    assert sorted((r["title"], r["source"]) for r in got) == sorted((x, f"feed-{x}") for x in names)
