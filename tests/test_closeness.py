@@ -105,3 +105,45 @@ def test_prior_art_of_nothing(spark):
     canon = spark.createDataFrame([(2, "M2", "Method", None), (1, "M1", "Method", "why"), (0, "T", "Theory", "no")], "pos int, title string, kind string, why string")
     assert portal.prior_art(known, canon).first()["block"] == "- M1: why\n- M2: "
     assert portal.prior_art(known, canon.limit(0)).first()["block"] == ""
+
+
+def test_members_without_keys(spark, tmp_path):
+    """Words are looked for in lower-cased texts, as in their keys, which aren't made for every word again."""
+    from paperloom.functions import text
+    from paperloom.plans import closeness
+
+    texts = ["The End", "the-end", "the\nend", "bathe é", "THE", "queñ", "que n", "a-b c", "a.b c", "x Émention", None, "", "the😀", "breathe İ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    low, key = F.lower(text.filled(F.col("text"))), text.title_key_hyphens(F.col("text"))
+    for part in ["the ", "queñ", "ment", "a-b", "e e", "b c", " "]:
+        assert rows.filter(~closeness._holds(low, part).eqNullSafe(F.contains(key, F.lit(part)))).count() == 0, part
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [1.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = closeness._members(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(0, "g4"), (1, "odd"), (2, "g4"), (3, "g4"), (9, "g2"), (12, "g4"), (13, "g4")]
+    assert "regexp_replace" not in got._jdf.queryExecution().toString()
+
+
+def test_scan_by_a_bounded_number_of_tasks(spark, monkeypatch):
+    """Rows of many partitions are written once and scanned by few tasks, in blocks, with ties, kins and absent values."""
+    rng = np.random.default_rng(3)
+    m = rng.integers(-2, 3, (400, 3)).astype(float)
+    m[7, 1] = np.nan
+    rows = spark.createDataFrame([(i, m[i].tolist(), i % 60) for i in range(400)], "id long, v array<double>, kin long").repartition(64)
+    scans = []
+    block = nearest._block
+    monkeypatch.setattr(nearest, "_block", lambda r, *a: scans.append((r.rdd.getNumPartitions(), "RepartitionByExpression" in r._jdf.queryExecution().toString() or "Repartition 64" in r._jdf.queryExecution().toString())) or block(r, *a))
+    monkeypatch.setattr(nearest, "QUERIES", 3)
+    for kin, others in (("kin", False), (None, True)):
+        got = {(r["query"], r["rank"]): (r["id"], r["sim"]) for r in nearest.nearest(rows, rows.filter("id % 50 = 1"), "id", "v", 7, 6, kin=kin, others=others).collect()}
+        want = {}
+        for q in range(1, 400, 50):
+            seen, place = set(), 0
+            for s, i in sorted((-float(m[q] @ m[i]), i) for i in range(400) if i != 7 and not (others and i == q)):
+                if (kin and i % 60) not in seen and place < 7:
+                    place += 1
+                    want[q, place] = i, -s + 0.0
+                    if kin:
+                        seen.add(i % 60)
+        assert got == want
+    assert len(scans) >= 4 and all(n <= max(nearest.TASKS, spark.sparkContext.defaultParallelism) and not again for n, again in scans)
