@@ -84,11 +84,13 @@ def sources(questions: DataFrame, vectors: DataFrame, items: DataFrame, full_tex
     terms = questions.select("qid", "question", text.question_terms(F.col("question")).alias("terms"))
     # few rows for each question from here on
     near = nearest(vectors.join(items.select("uid", F.lower(F.trim("title")).alias("kin")), "uid"), questions.select(F.col("qid").alias("uid"), "v"), "uid", "v", RECALL, kin="kin", others=False).withColumnRenamed("query", "qid")
-    joined = near.join(items, "uid").join(terms, "qid")
+    joined = near.join(items.select("uid", "title", "summary", "strength", "reputation"), "uid").join(terms, "qid")
     score = retrieval.blend(F.col("sim"), text.keyword_hits(F.col("terms"), F.col("title")), text.keyword_hits(F.col("terms"), F.col("summary")), retrieval.quality_prior(F.col("strength"), F.col("reputation")))
-    seen = _numbered(joined.withColumn("score", F.round(score, 9)), "qid", [F.desc("score"), F.col("uid")], "at").filter(F.col("at") <= EXAMINED)
-    seen = materialise(seen.select("qid", "question", "terms", "at", "uid", "title", "summary", "abstract"))
-    opened = _numbered(seen.join(full_texts, "uid"), "qid", [F.col("at")], "__n").filter(F.col("__n") <= OPENED)
+    # numbers alone are ordered; texts come to the papers examined, and full texts to those opened
+    seen = _numbered(joined.select("qid", "uid", F.round(score, 9).alias("score")), "qid", [F.desc("score"), F.col("uid")], "at").filter(F.col("at") <= EXAMINED)
+    seen = materialise(seen.select("qid", "uid", "at").join(items.select("uid", "title", "summary", "abstract"), "uid").join(terms, "qid"))
+    whole = seen.select("qid", "uid", "at").join(full_texts.select("uid"), "uid", "left_semi")
+    opened = _numbered(whole, "qid", [F.col("at")], "__n").filter(F.col("__n") <= OPENED).join(full_texts, "uid")
     parts = passages.explode_passages(opened, "uid", "passages", ("qid",), ("at",)).join(terms, "qid")
     best = materialise(_numbered(bm25(parts, "terms", "text"), "qid", [F.desc("score"), F.col("at"), F.col("place")], "n").filter(F.col("n") <= CARRIED).select("qid", "n", "uid", "section", "text", "at"))
     lead = best.join(seen.select("qid", "at", "title"), ["qid", "at"]).select("qid", F.lit(0).alias("block"), "n", "uid", "title", "section", F.lit("full").alias("depth"), F.col("text").alias("body"))

@@ -17,9 +17,10 @@ def _given(spark, sf_dir):
     """Documents that have a vector as papers: first line, second line, and all lines as passages of every third."""
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("v"))
     k, lines = F.col("uid"), F.split("text", "\n")
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text", "source").join(v.select("uid"), "uid", "left_semi")
-    items = d.select("uid", F.get(lines, F.lit(0)).alias("title"), F.col("source").alias("summary"), F.when(k % 4 != 3, F.get(lines, F.lit(1))).alias("abstract"), F.when(k % 6 != 0, k % 100).alias("strength"), F.when(k % 5 == 0, 1.1).alias("reputation"), F.concat(F.lit("doi:"), k.cast("string")).alias("key"))
-    full = d.filter("uid % 3 = 0").select("uid", F.transform(lines, lambda t, n: F.struct(F.concat(F.lit("s"), (n % 3).cast("string")).alias("s"), t.alias("t"))).alias("passages"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text", "source")
+    held = lambda df: df.join(v.select("uid"), "uid", "left_semi")  # noqa: E731  after the columns are made, so that whole texts aren't shuffled
+    items = held(d.select("uid", F.get(lines, F.lit(0)).alias("title"), F.col("source").alias("summary"), F.when(k % 4 != 3, F.get(lines, F.lit(1))).alias("abstract"), F.when(k % 6 != 0, k % 100).alias("strength"), F.when(k % 5 == 0, 1.1).alias("reputation"), F.concat(F.lit("doi:"), k.cast("string")).alias("key")))
+    full = held(d.filter("uid % 3 = 0").select("uid", F.transform(lines, lambda t, n: F.struct(F.concat(F.lit("s"), (n % 3).cast("string")).alias("s"), t.alias("t"))).alias("passages")))
     turn = F.floor(F.col("uid") / 50) % len(ASKED)
     questions = v.filter("uid % 50 = 0").select(F.col("uid").alias("qid"), F.get(F.array(*map(F.lit, ASKED)), turn).alias("question"), "v")
     outside = questions.select("qid", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("pos")).select("qid", "pos", F.concat(F.lit("DOI:"), (F.col("qid") + F.col("pos") * 37).cast("string")).alias("key"), F.concat(F.lit("outside "), F.col("pos").cast("string")).alias("title"), F.when(F.col("pos") % 2 == 0, "seen elsewhere").alias("abstract"))

@@ -93,3 +93,22 @@ def test_an_empty_archive(spark, archive):
     got = rows(asking.sources(questions, vectors.limit(0), items.limit(0), full, outside))
     assert {q: [r["block"] for r in own] for q, own in got.items()} == {1: [3] * 4}
     assert asking.sources(questions.limit(0), vectors, items, full, outside.limit(0)).collect() == []
+
+
+def test_texts_and_rows_are_not_made_again_for_every_block(spark, sf, monkeypatch):
+    """Whatever the vectors come from is worked out once, and whole texts aren't joined where their first lines do."""
+    from paperloom.operators import nearest
+    from paperloom.plans import questions
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        made.add(1)
+        return v
+
+    rows = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "id long, v array<double>")
+    monkeypatch.setattr(nearest, "QUERIES", 2)
+    assert nearest.nearest(rows.withColumn("v", F.udf(count, "array<double>").asNondeterministic()("v")), rows.filter("id % 5 = 0"), "id", "v", 3).count() == 24
+    assert made.value == 40
+    items = questions._given(spark, sf)[2]
+    assert "AS title" in items._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi", 1)[1].splitlines()[1]
