@@ -13,6 +13,16 @@ from .items import read
 from .running import _folder, _s
 
 
+#: Rows that a task writes into files by folder.
+WRITTEN = 50_000
+
+
+def _dealt(rows, *keys):
+    """Rows with their few columns dealt by range, folder first, before they are made wide: whoever writes files by folder
+    sorts all that a task holds, and a task of a small, well compressed table holds any number of rows."""
+    return rows.repartitionByRange(1 + rows.count() // WRITTEN, *keys)
+
+
 def feed_items(spark, sf_dir):
     """Documents as feeds, one folder for each source: as a mailing list without a cutoff, and as a blog since a day."""
     k = F.col("doc_id")
@@ -52,7 +62,7 @@ def practitioner_journals(spark, sf_dir):
     o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
     day = F.array(F.array(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")))
     person = lambda a: F.struct(F.when(a != "C", a).alias("given"), F.concat(F.lit("x"), a).alias("family"))
-    works = o.select(F.concat(F.lit("10.1/X"), _s("o_orderkey")).alias("DOI"), F.array(F.when(k % 11 == 0, " ").otherwise(F.concat(F.lit("On "), _s("o_orderkey")))).alias("title"), F.transform(F.array(*[F.lit(x) for x in "ABCDE"]), person).alias("author"),
+    works = _dealt(o.select("o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderpriority", "o_orderkey").select(F.concat(F.lit("10.1/X"), _s("o_orderkey")).alias("DOI"), F.array(F.when(k % 11 == 0, " ").otherwise(F.concat(F.lit("On "), _s("o_orderkey")))).alias("title"), F.transform(F.array(*[F.lit(x) for x in "ABCDE"]), person).alias("author"),
                      F.when(k % 3 == 0, F.concat(F.lit("<jats:p>Abs "), _s("o_orderkey"), F.lit("</jats:p>"))).alias("abstract"), (k % 40).cast("int").alias("is-referenced-by-count"), F.when(k % 4 != 0, F.struct(day.alias("date-parts"))).alias("published"),
                      F.struct(day.alias("date-parts")).alias("created"), F.col("o_orderpriority").alias("label"))
     path = _folder(spark)
@@ -72,9 +82,9 @@ PRACTITIONER = """WITH o AS (SELECT *, o_orderkey AS k, 'On ' || o_orderkey AS t
 
 def repositories(spark, sf_dir):
     """Parts as works of repositories: some are known by id, some are found by name, some aren't found."""
-    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    p, k = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), F.col("p_partkey")
     person = F.struct(F.struct(F.concat(F.lit("https://openalex.org/A"), _s("p_partkey")).alias("id"), F.lit("N N").alias("display_name")).alias("author"))
-    works = p.select(F.concat(F.lit("https://openalex.org/W"), _s("p_partkey")).alias("id"), F.concat(F.lit("https://doi.org/10.5/Q"), _s("p_partkey")).alias("doi"), F.col("p_name").alias("title"), F.lit(2023).alias("publication_year"),
+    works = _dealt(p, "p_brand", "p_partkey").select(F.concat(F.lit("https://openalex.org/W"), _s("p_partkey")).alias("id"), F.concat(F.lit("https://doi.org/10.5/Q"), _s("p_partkey")).alias("doi"), F.col("p_name").alias("title"), F.lit(2023).alias("publication_year"),
                      F.when(k % 4 != 0, F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))).alias("publication_date"), F.when(k % 3 == 0, (k % 9).cast("int")).alias("cited_by_count"), F.array(*[person] * 5).alias("authorships"),
                      F.create_map(F.lit("b"), F.array(F.lit(1)), F.lit("a"), F.array(F.lit(0), F.lit(2))).alias("abstract_inverted_index"), F.col("p_brand").alias("repository"))
     path = _folder(spark)

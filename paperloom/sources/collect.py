@@ -19,8 +19,10 @@ from .lookup import first_named
 
 def tiered(items: DataFrame, journals: DataFrame, source: str, label: str, tier: str, date: str, n: int = 100) -> DataFrame:
     """The newest n items of each journal of the dimension, with its tier."""
-    named = items.join(journals.select(F.col(label).alias(source), F.col(tier).alias("tier")), source)
-    return top_per_group(named, [source], [F.desc_nulls_last(date), F.col("title"), F.col("url")], n).drop("rank")
+    order = [F.desc_nulls_last(date), F.col("title"), F.col("url")]
+    first = top_per_group(items, [source], order, n).drop("rank")  # so that a journal's items don't all meet in the join
+    named = first.join(journals.select(F.col(label).alias(source), F.col(tier).alias("tier")), source)
+    return top_per_group(named, [source], order, n).drop("rank")
 
 
 def needs_abstract(items: DataFrame, archive: DataFrame, key: str, abstract: str) -> DataFrame:
@@ -52,8 +54,11 @@ def repositories(works: DataFrame, wanted: DataFrame, hits: DataFrame, n: int =
     """
     found = first_named(hits.select(F.col("label").alias("__label"), "place", "name", F.element_at(F.split("id", "/"), -1).alias("__found")), "__label", "name", "place").select("__label", "__found")
     known = wanted.join(found, F.col("label") == F.col("__label"), "left").select("label", F.coalesce(F.nullif("id", F.lit("")), "__found").alias("repository")).filter("repository is not null").distinct()
-    own = works.drop("source").join(known, "repository").withColumn("source", F.concat("label", F.lit(" (via OpenAlex)")))
-    return top_per_group(own, ["source"], [F.desc_nulls_last("date"), F.col("title"), F.col("url")], n).drop("rank", "label")
+    order = [F.desc_nulls_last("date"), F.col("title"), F.col("url")]
+    # a label's newest are among its repositories' newest, so a repository's works don't all meet in the join
+    first = top_per_group(works.drop("source"), ["repository"], order, n).drop("rank")
+    own = first.join(known, "repository").withColumn("source", F.concat("label", F.lit(" (via OpenAlex)")))
+    return top_per_group(own, ["source"], order, n).drop("rank", "label")
 
 
 def resolve_topics(hits: DataFrame, term: str, score: str, field: str, wanted: str, least: int = 3000) -> tuple[DataFrame, DataFrame]:
