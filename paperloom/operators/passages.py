@@ -83,6 +83,9 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 ARTICLES = ("journal-article", "proceedings-article")
 BOOKISH = ("reference-entry", "book", "book-chapter", "book-part", "book-section", "monograph", "dataset", "component")
 
+#: Rows, titles wanted and candidates, that a task matches.
+MATCHED = 100_000
+
 
 def _plain(c):
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", ""))
@@ -95,9 +98,10 @@ def best_match(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
     Score: similarity of the plain titles, and bonuses for the author and an article, and penalties for book-like kinds and
     for years far off; the first of equals.  It is accepted with the author from 0.6 on, or for a near-equal title of a
     near year.  A year of 0 or null is not known.  Candidates are those a search gave for the key, so no title meets
-    titles of other keys.
+    titles of other keys.  Both are dealt by key to as many tasks as MATCHED rows each take, as the best are found by sorting.
     """
-    joined = wanted.alias("w").join(found.alias("f"), key).filter(_plain(F.col("f.title")) != "")
+    n = max(wanted.sparkSession.sparkContext.defaultParallelism, 1 + (wanted.count() + found.count()) // MATCHED)
+    joined = wanted.repartition(n, key).alias("w").join(found.repartition(n, key).alias("f"), key).filter(_plain(F.col("f.title")) != "")
     ratio = similarity(_plain(F.col("w.title")), _plain(F.col("f.title")))
     has_author = F.coalesce(F.exists("f.authors", lambda a: F.lower(a) == F.lower(F.col("w.author"))), F.lit(False))
     off = F.when((F.col("f.year") > 0) & (F.col("w.year") > 0), F.abs(F.col("f.year") - F.col("w.year")))

@@ -86,3 +86,33 @@ def test_sources_from_folders(spark, tmp_path):
     spark.createDataFrame([(x, x) for x in names], "code string, title string").write.partitionBy("code").format("xml").option("rowTag", "item").save(str(tmp_path / "f"))
     got = readers.rss(spark, str(tmp_path / "f"), readers.from_folder("code", "feed-"), "1").collect()
     assert sorted((r["title"], r["source"]) for r in got) == sorted((x, f"feed-{x}") for x in names)
+
+
+def test_writers_and_joins_hold_few_rows(spark, monkeypatch):
+    """What is written by folder is dealt to tasks of few rows; a repository's or journal's works are cut before they are joined."""
+    from paperloom.operators import passages
+    from paperloom.plans import feeding
+
+    monkeypatch.setattr(feeding, "WRITTEN", 100)
+    p = spark.range(2000).selectExpr("id", "if(id % 10 = 0, null, if(id < 1500, 'a', 'b')) AS folder")
+    dealt = feeding._dealt(p, "folder", "id")
+    sizes = [len(x) for x in dealt.rdd.glom().collect()]
+    assert len(sizes) == 21 and sum(sizes) == 2000 and max(sizes) < 250
+
+    def cut(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return "WindowGroupLimit" in plan.split("Join", 1)[1]
+
+    works = spark.createDataFrame([("r", f"d{i}", f"t{i}", f"u{i}", "s") for i in range(9)], "repository string, date string, title string, url string, source string")
+    wanted = spark.createDataFrame([("A", "r"), ("B", "r"), ("B", "q")], "label string, id string")
+    found = collect.repositories(works, wanted, spark.createDataFrame([], "label string, place int, name string, id string"), 2)
+    assert cut(found) and sorted((r["source"][0], r["title"]) for r in found.collect()) == [("A", "t7"), ("A", "t8"), ("B", "t7"), ("B", "t8")]
+    own = collect.tiered(works, spark.createDataFrame([("s", "T1"), ("s", "T1")], "label string, tier string"), "source", "label", "tier", "date", 3)
+    assert cut(own) and sorted(r["title"] for r in own.collect()) == ["t7", "t8", "t8"]
+
+    monkeypatch.setattr(passages, "MATCHED", 10)
+    titles = spark.range(50).selectExpr("id AS k", "concat('title number ', id) AS title", "'Lee' AS author", "2000L AS year")
+    hits = spark.range(100).selectExpr("id % 50 AS k", "concat('title number ', id) AS title", "array('Lee') AS authors", "2000L AS year", "'journal-article' AS kind", "id AS pos")
+    best = passages.best_match(titles, hits, "k")
+    assert "[k#" in best._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1] and best._jdf.queryExecution().optimizedPlan().toString().count("], 16") == 2
+    assert sorted((r["k"], r["title"]) for r in best.collect()) == [(i, f"title number {i}") for i in range(50)]
