@@ -27,7 +27,7 @@ from .textvec import chunks
 
 #: Bytes of pieces, in either of two generations, and number of token pairs (about 80 bytes each) that a worker
 #: remembers; results do not depend on them.
-PIECE_BYTES, PAIRS = 16_000_000, 250_000
+PIECE_BYTES, PAIRS = 48_000_000, 250_000
 #: Pieces of a long text that are worked on at once.
 BLOCK = 250_000
 #: What the empty prefix ends with.
@@ -46,6 +46,8 @@ class Vocabulary:
         for t, r in ranks.items():
             self.matches.add_word(t.decode("latin-1"), (r, len(t)))
         self.matches.make_automaton()
+        #: Bytes of each token.
+        self.length_of = {r: len(t) for t, r in ranks.items()}
         top = range(max(self.bytes_of, default=-1) + 1)
         #: By token: its bytes, and its number with a comma.
         self.token_bytes = pa.array([self.bytes_of.get(i, b"") for i in top], pa.binary())
@@ -195,17 +197,28 @@ def _pieces(path: str) -> Pieces:
 
 
 def encode_all(v: Vocabulary, pieces: list[bytes]) -> list[list[int]]:
-    """Each piece by itself: their prefixes are filled in one pass; a whole token stands for itself."""
-    text = "\u0100".join([p.decode("latin-1") for p in pieces])
+    """Each piece by itself: a whole token stands for itself, the prefixes of all others are filled in one pass."""
+    whole = [v.ranks.get(p) for p in pieces]
+    parts = [p for p, token in zip(pieces, whole) if token is None]
+    text = "\u0100".join([p.decode("latin-1") for p in parts])
     last: list[int | None] = [None] * (len(text) + 1)
-    starts, at = [], 0
-    for p in pieces:
-        starts.append(at)
+    at, ends = 0, []
+    for size in map(len, parts):
         last[at] = START
-        at += len(p) + 1
+        at += size + 1
+        ends.append(at - 1)
     fill(v, text, last)
-    whole = v.ranks.get
-    return [[token] if (token := whole(p)) is not None else walk_back(v, last, a, a + len(p)) for p, a in zip(pieces, starts)]
+    length, found = v.length_of, []
+    for start, end in zip([0, *[e + 1 for e in ends]], ends):
+        back = []
+        while end > start:
+            token = last[end]
+            back.append(token)
+            end -= length[token]
+        back.reverse()
+        found.append(back)
+    filled = iter(found)
+    return [next(filled) if token is None else [token] for token in whole]
 
 
 class Pieces:
@@ -219,8 +232,8 @@ class Pieces:
 
     def ids(self, pieces: list[str]) -> pa.ListArray:
         """The ids of each piece, in order."""
-        distinct = list(dict.fromkeys(pieces))
-        place = dict(zip(distinct, range(len(distinct))))
+        encoded = pa.array(pieces, pa.string()).dictionary_encode()
+        distinct = encoded.dictionary.to_pylist()
         found = list(map(self.young.get, distinct))
         unknown = [i for i, f in enumerate(found) if f is None]
         missing = []
@@ -239,7 +252,7 @@ class Pieces:
             self.young, self.old, self.size = {}, self.young, 0
         offsets = np.concatenate([[0], np.cumsum(list(map(len, found)), dtype=np.int64) // 4]).astype(np.int32)
         each = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-        return each.take(pa.array(np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))))
+        return each.take(encoded.indices)
 
 
 def _blocks(texts: list[str], pattern: regex.Pattern) -> Iterator[tuple[list[str], list[tuple[int, int, int]]]]:

@@ -62,3 +62,15 @@ def test_odd_texts(spark):
     for i, t in enumerate(texts):
         assert got[i]["ids"] == TIKTOKEN.encode_ordinary(t or "")
     assert bpe.encode_bpe(df.limit(0), "text", public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN).count() == 0
+
+
+def test_whole_tokens_are_not_filled(monkeypatch):
+    """Pieces that are tokens stand for themselves without a pass over their bytes; others, and the empty one, keep their order."""
+    from paperloom.llm import bpe
+
+    v = bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"cd": 258})
+    seen, fill = [], bpe.fill
+    monkeypatch.setattr(bpe, "fill", lambda v, text, last: seen.append(text) or fill(v, text, last))
+    pieces = [b"abc", b"abcd", b"", b"ab", b"cdab", b"x"]
+    assert bpe.encode_all(v, pieces) == [v.merge(p) for p in pieces]
+    assert seen == ["abcdĀĀcdab"]
