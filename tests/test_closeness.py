@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import parse
 from paperloom.operators import nearest, passages, portal, rank, views, votes
+from paperloom.plans import more
 
 
 @pytest.mark.parametrize(("block", "values"), [(3, None), (2048, None), (4, [0.0, 0.5, 1.0])])
@@ -52,6 +53,13 @@ def test_entries_of_replies_stand_alone(spark):
     assert read(None) == [] and read("none") == [] and read("[oops") == [] and read("[1, 2") == []
 
 
+def test_fields_of_graded_replies_are_read_once(spark, sf):
+    plan = more.QUERIES["graded_replies"][0](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("get_json_object") <= 9  # i, rel, gen, kind, tags; level and why of either axis
+    for told, want in (("1e300", 3), ("-1e300", 0), ("Infinity", 1), ("NaN", 1)):
+        assert spark.range(1).select(parse.level(F.lit(told), 1)).first()[0] == want
+
+
 def test_tags_keep_the_vocabulary_order(spark):
     v = spark.createDataFrame([(1, 0, ["d", "b", "a", "c"]), (1, 1, ["d", "c", "b", "zz"]), (2, 0, ["zz"]), (3, 0, None)], "k int, who int, tags array<string>").withColumns({"l": F.lit(1), "f": F.lit(None).cast("boolean"), "c": F.concat(F.lit("x"), F.col("who").cast("string"))})
     got = {r["k"]: r for r in votes.merge_votes(v, "k", ["l"], ["f"], "tags", "l", {"c": ([], None)}, vocabulary=["a", "b", "c", "d", "other"]).collect()}
