@@ -60,6 +60,16 @@ def test_fields_of_graded_replies_are_read_once(spark, sf):
         assert spark.range(1).select(parse.level(F.lit(told), 1)).first()[0] == want
 
 
+def test_last_entries_of_a_long_reply_count(spark, sf):
+    plan = more.QUERIES["tolerant_replies"][0](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("get_json_object") <= 20  # 11 fields, level and why of four axes, provisional of one
+    told = [(n * 7 % 1500, n % 4) for n in range(5000)]
+    reply = "[" + ", ".join(f'{{"i": {i}, "a": {a}}}' for i, a in told) + "]"
+    got = spark.createDataFrame([(reply,)], "r string").select(parse.graded(F.col("r"), ["a"], {}, ["other"]).alias("g")).first()["g"]
+    last = {i: n for n, (i, _) in enumerate(told)}
+    assert [(r["i"], r["a"]["level"]) for r in got] == [x for n, x in enumerate(told) if last[x[0]] == n]
+
+
 def test_tags_keep_the_vocabulary_order(spark):
     v = spark.createDataFrame([(1, 0, ["d", "b", "a", "c"]), (1, 1, ["d", "c", "b", "zz"]), (2, 0, ["zz"]), (3, 0, None)], "k int, who int, tags array<string>").withColumns({"l": F.lit(1), "f": F.lit(None).cast("boolean"), "c": F.concat(F.lit("x"), F.col("who").cast("string"))})
     got = {r["k"]: r for r in votes.merge_votes(v, "k", ["l"], ["f"], "tags", "l", {"c": ([], None)}, vocabulary=["a", "b", "c", "d", "other"]).collect()}
